@@ -1,17 +1,60 @@
-"""Queries of this subpackage, by name, and their SQL where SQL can say the same."""
+"""Queries of this subpackage, by name, and their SQL where SQL can say the same in reasonable time."""
 
 from __future__ import annotations
 
 from annalist.llm.common import table
+from annalist.llm.decontaminate import contaminated
+from annalist.llm.disclosure import sanitised
+from annalist.llm.lattice_lm import lattice_scores
+from annalist.llm.license_scan import licenses
 from annalist.llm.ngram_join import jaccard_groups
+from annalist.llm.quality_eb import quality
+from annalist.llm.raking import mixture
+from annalist.llm.risk_rules import quality_rules
+from annalist.llm.warc import archived
+from annalist.llm.zstd_lang import languages
+
+
+def op1_lattice_lm(spark, sf_dir):
+    return lattice_scores(table(spark, sf_dir, "documents"))
+
+
+def op2_disclosure(spark, sf_dir):
+    return sanitised(table(spark, sf_dir, "documents"), with_text=False)
 
 
 def op3_ngram_jaccard(spark, sf_dir):
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op3_ngram_jaccard": op3_ngram_jaccard,
-}
+def op4_quality_eb(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_raking(spark, sf_dir):
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_merge(spark, sf_dir):
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op7_decontaminate(spark, sf_dir):
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).distinct()
+
+
+def op8_zstd_language(spark, sf_dir):
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op9_risk_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_license_scan(spark, sf_dir):
+    return licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice_lm, op2_disclosure, op3_ngram_jaccard, op4_quality_eb, op5_raking, op6_warc_merge, op7_decontaminate, op8_zstd_language, op9_risk_rules, op10_license_scan)}
 
-ORACLE = {}
+ORACLE: dict[str, str] = {}
