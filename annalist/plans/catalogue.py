@@ -2,5 +2,441 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from annalist.functions import buckets, rates, slices
+from annalist.functions.offsets import TimestampOffset, last_offset
+from annalist.operators import cleanup, journal, merge, migrate, snapshots, state, writes
+from annalist.sources import fixtures as fx
+from annalist.sources.fixtures import zoneless
+
+TYPE, LOW, HIGH = "click", 0, 255
+PID = "click|42"
+FROM, TO, NOW = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 25)
+DAY, SEEN = dt.datetime(1998, 6, 1), {"Customer|1": 2, "Customer|7": 3, "Customer|100": 5}
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+# --- the views in SQL -------------------------------------------------------------------------------------------------
+
+_HASH = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split({0}, ''), lambda c: ord(c)::BIGINT)), lambda a, b: (a * 31 + b) % 4294967296)"
+_SLICES = """{0}_h AS (SELECT pid, {1} AS u FROM (SELECT DISTINCT {2} AS pid FROM {3})),
+{0}_s AS (SELECT pid, abs((CASE WHEN u >= 2147483648 THEN u - 4294967296 ELSE u END) % 1024)::INTEGER AS slice FROM {0}_h)"""
+_EPID = "event_type || '|' || user_id::VARCHAR"
+_OPID = "'Customer|' || o_custkey::VARCHAR"
+_EVENTS = f"""{_SLICES.format("e", _HASH.format("pid"), _EPID, "events")},
+j AS (SELECT s.slice, event_type AS entity_type, s.pid AS persistence_id, row_number() OVER (PARTITION BY s.pid ORDER BY ts, event_id) AS seq_nr, ts AS db_timestamp,
+  props AS payload, CASE WHEN value > 100 THEN (CASE WHEN event_type < 'hi' THEN event_type || ',hi' ELSE 'hi,' || event_type END) ELSE event_type END AS tags, value > 100 AS hi, event_id, user_id, value
+  FROM events JOIN e_s s ON s.pid = {_EPID})"""
+_DELETED = f"""{_EVENTS}, d AS (SELECT *, user_id % 10 = 0 AND seq_nr = max(seq_nr) OVER (PARTITION BY persistence_id) AS deleted FROM j)"""
+_ORDERS = f"""{_SLICES.format("o", _HASH.format("pid"), _OPID, "orders")},
+c AS (SELECT s.slice, s.pid AS persistence_id, row_number() OVER (PARTITION BY s.pid ORDER BY o_orderdate, o_orderkey) AS seq_nr, o_orderdate AS db_timestamp, o_orderkey
+  FROM orders JOIN o_s s ON s.pid = {_OPID})"""
+_SNAP = f"""{_EVENTS}, t AS (SELECT *, max(seq_nr) OVER (PARTITION BY persistence_id) AS top FROM j),
+s AS (SELECT slice, entity_type, persistence_id, seq_nr, db_timestamp, 'snap:' || payload AS snapshot, tags FROM t WHERE seq_nr = (top // 5) * 5 AND seq_nr > 0)"""
+_STATE = f"""{_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY persistence_id ORDER BY seq_nr DESC) AS n FROM j),
+st AS (SELECT slice, entity_type, persistence_id, seq_nr AS revision, db_timestamp, seq_nr % 7 = 0 AS gone, CASE WHEN seq_nr % 7 = 0 THEN NULL ELSE payload END AS value, tags FROM r WHERE n = 1)"""
+_MIXED = f"""{_EVENTS}, m AS (
+  SELECT entity_type, persistence_id, seq_nr, db_timestamp, event_id, CASE WHEN event_id % 3 = 0 THEN 'PS' WHEN event_id % 11 = 1 THEN 'HB' ELSE '' END AS source, event_id * 2 AS n FROM j
+  UNION ALL SELECT entity_type, persistence_id, seq_nr, db_timestamp, event_id, 'BT', event_id * 2 + 9 FROM j WHERE event_id % 4 = 0
+  UNION ALL SELECT entity_type, persistence_id, seq_nr, db_timestamp, event_id, '', event_id * 2 + 21 FROM j WHERE event_id % 5 = 0)"""
+_IN = f"entity_type = '{TYPE}' AND slice BETWEEN {LOW} AND {HIGH}"
+
+
+def _ts(value: dt.datetime) -> str:
+    return f"TIMESTAMP '{value}'"
+
+
+def query(sql: str, name: str | None = None):
+    """Registers a function of (spark, sf_dir) with its SQL."""
+
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        ORACLE[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _shown(rows: DataFrame, *columns: str) -> DataFrame:
+    """Columns that compare with SQL: times without zone, payloads as text, tags joined."""
+    kinds = dict(rows.dtypes)
+    how = {"timestamp": zoneless, "binary": lambda c: F.col(c).cast("string"), "array<string>": lambda c: F.array_join(c, ",")}
+    return rows.select(*(how[kinds[c]](c).alias(c) if kinds[c] in how else F.col(c) for c in columns))
+
+
+# --- scans and lookups ------------------------------------------------------------------------------------------------
+
+_ROW = ("slice", "persistence_id", "seq_nr", "db_timestamp", "event_payload", "tags")
+_SQL_ROW = "slice, persistence_id, seq_nr, db_timestamp, payload AS event_payload, tags"
+
+
+@query(f"WITH {_DELETED} SELECT slice, persistence_id, seq_nr, db_timestamp AS ts, payload AS event, tags, entity_type, false AS filtered, '' AS source FROM d WHERE NOT deleted AND {_IN} AND db_timestamp <= {_ts(NOW)}")
+def current_events_by_slices(spark, sf_dir):
+    rows = journal.current_events_by_slices(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH, now=NOW)
+    return _shown(rows.withColumn("ts", F.col("offset.timestamp")), "slice", "persistence_id", "seq_nr", "ts", "event", "tags", "entity_type", "filtered", "source")
+
+
+@query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM d WHERE NOT deleted AND {_IN} AND db_timestamp >= {_ts(FROM)} AND db_timestamp <= {_ts(TO)} AND db_timestamp < {_ts(NOW)} - INTERVAL 100 MILLISECOND ORDER BY db_timestamp, seq_nr, persistence_id LIMIT 1000")
+def events_by_slices_scan(spark, sf_dir):
+    return _shown(journal.events_by_slices_scan(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH, FROM, to_ts=TO, now=NOW, behind_ms=100), *_ROW)
+
+
+@query(f"WITH {_ORDERS} SELECT slice, persistence_id, seq_nr, db_timestamp FROM c WHERE slice BETWEEN 0 AND 1023 AND db_timestamp >= {_ts(DAY)} AND (db_timestamp <> {_ts(DAY)} OR seq_nr >= 4) ORDER BY db_timestamp, seq_nr, persistence_id LIMIT 1000")
+def events_by_slices_from_offset(spark, sf_dir):
+    return _shown(journal.events_by_slices_scan(fx.journal_orders(spark, sf_dir), "Customer", 0, 1023, DAY, 4), "slice", "persistence_id", "seq_nr", "db_timestamp")
+
+
+@query(f"WITH {_ORDERS} SELECT persistence_id, seq_nr, db_timestamp FROM c WHERE db_timestamp > {_ts(DAY)} OR (db_timestamp = {_ts(DAY)} AND seq_nr > CASE persistence_id {' '.join(f"WHEN '{p}' THEN {n}" for p, n in SEEN.items())} ELSE 0 END)")
+def events_by_slices_seen_filter(spark, sf_dir):
+    rows = journal.current_events_by_slices(fx.journal_orders(spark, sf_dir), "Customer", 0, 1023, TimestampOffset(DAY, SEEN))
+    return _shown(rows.withColumn("db_timestamp", F.col("offset.timestamp")), "persistence_id", "seq_nr", "db_timestamp")
+
+
+@query(f"WITH {_ORDERS} SELECT persistence_id, seq_nr FROM c WHERE db_timestamp > {_ts(DAY)}")
+def events_by_slices_resumed(spark, sf_dir):
+    """Reads to a day, and then on from where that stopped."""
+    rows = fx.journal_orders(spark, sf_dir)
+    stopped = last_offset(rows.where(F.col("db_timestamp") <= journal.at(DAY)))
+    return journal.current_events_by_slices(rows, "Customer", 0, 1023, stopped).select("persistence_id", "seq_nr")
+
+
+@query(f"WITH {_DELETED} SELECT slice, persistence_id, seq_nr, db_timestamp, tags, 1 AS event_ser_id FROM d WHERE NOT deleted AND {_IN} AND db_timestamp >= {_ts(FROM)} ORDER BY db_timestamp, seq_nr, persistence_id LIMIT 1000")
+def backtracking_projection(spark, sf_dir):
+    return _shown(journal.events_by_slices_scan(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH, FROM, backtracking=True), *journal.LIGHT)
+
+
+@query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM d WHERE persistence_id = '{PID}' AND seq_nr BETWEEN 2 AND 9 AND NOT deleted")
+def events_by_persistence_id(spark, sf_dir):
+    return _shown(journal.events_by_persistence_id(fx.journal_deleted(spark, sf_dir), PID, 2, 9), *_ROW)
+
+
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, deleted, CASE WHEN deleted THEN NULL ELSE payload END AS event_payload, CASE WHEN deleted THEN 0 ELSE 1 END AS event_ser_id FROM d WHERE persistence_id = 'view|40'")
+def events_by_persistence_id_incl_deleted(spark, sf_dir):
+    return _shown(journal.events_by_persistence_id(fx.journal_deleted(spark, sf_dir), "view|40", include_deleted=True), "persistence_id", "seq_nr", "deleted", "event_payload", "event_ser_id")
+
+
+@query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM d WHERE persistence_id = '{PID}' AND seq_nr = 3 AND NOT deleted")
+def load_event(spark, sf_dir):
+    return _shown(journal.load_event(fx.journal_deleted(spark, sf_dir), PID, 3), *_ROW)
+
+
+@query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM d WHERE persistence_id = '{PID}' AND seq_nr <= 6 AND NOT deleted ORDER BY seq_nr DESC LIMIT 1")
+def load_last_event(spark, sf_dir):
+    return _shown(journal.load_last_event(fx.journal_deleted(spark, sf_dir), PID, 6), *_ROW)
+
+
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, deleted FROM d WHERE persistence_id = 'view|40' ORDER BY seq_nr DESC LIMIT 1")
+def load_last_event_incl_deleted(spark, sf_dir):
+    return _shown(journal.load_last_event(fx.journal_deleted(spark, sf_dir), "view|40", include_deleted=True), "persistence_id", "seq_nr", "deleted")
+
+
+@query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM (SELECT *, row_number() OVER (PARTITION BY persistence_id ORDER BY seq_nr DESC) AS n FROM d WHERE NOT deleted) WHERE n = 1")
+def last_events(spark, sf_dir):
+    return _shown(journal.last_events(fx.journal_deleted(spark, sf_dir)), *_ROW)
+
+
+@query(f"WITH {_DELETED} SELECT db_timestamp FROM d WHERE persistence_id = '{PID}' AND seq_nr = 4 AND NOT deleted")
+def timestamp_of_event(spark, sf_dir):
+    return _shown(journal.timestamp_of_event(fx.journal_deleted(spark, sf_dir), PID, 4), "db_timestamp")
+
+
+@query(f"WITH {_DELETED} SELECT max(db_timestamp) AS latest FROM d WHERE NOT deleted AND {_IN}")
+def latest_event_timestamp(spark, sf_dir):
+    return _shown(journal.latest_event_timestamp(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH), "latest")
+
+
+@query(f"WITH {_DELETED} SELECT slice, max(db_timestamp) AS latest FROM d WHERE NOT deleted AND entity_type = '{TYPE}' GROUP BY slice")
+def latest_event_timestamp_per_slice(spark, sf_dir):
+    rows = journal.typed(fx.journal_deleted(spark, sf_dir), TYPE, 0, 1023).where(journal.live())
+    return _shown(rows.groupBy("slice").agg(F.max("db_timestamp").alias("latest")), "slice", "latest")
+
+
+@query(f"WITH {_DELETED} SELECT coalesce(max(seq_nr), 0) AS highest FROM d WHERE persistence_id = 'view|40'")
+def highest_seq_nr(spark, sf_dir):
+    return journal.highest_seq_nr(fx.journal_deleted(spark, sf_dir), "view|40")
+
+
+@query(f"WITH {_DELETED} SELECT coalesce(min(seq_nr), 0) AS lowest FROM d WHERE persistence_id = 'nobody|1'")
+def lowest_seq_nr(spark, sf_dir):
+    return journal.lowest_seq_nr(fx.journal_deleted(spark, sf_dir), "nobody|1")
+
+
+@query("SELECT TIMESTAMP '2024-01-25 00:00:00' AS now")
+def current_db_timestamp(spark, sf_dir):
+    return _shown(journal.current_db_timestamp(spark, NOW), "now")
+
+
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr FROM d WHERE persistence_id = '{PID}' AND seq_nr BETWEEN 2 AND 5 AND NOT deleted")
+def replay(spark, sf_dir):
+    return journal.replay(fx.journal_deleted(spark, sf_dir), PID, 2, 2**63 - 1, 4)[0].select("persistence_id", "seq_nr")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE hi")
+def events_with_tag(spark, sf_dir):
+    return journal.with_tag(fx.journal_events(spark, sf_dir), "hi").select("persistence_id", "seq_nr")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE json_extract_string(payload, '$.k') = '69'")
+def events_with_json(spark, sf_dir):
+    return journal.with_json(fx.journal_events(spark, sf_dir), "$.k", "69").select("persistence_id", "seq_nr")
+
+
+# --- ids --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH ids AS (SELECT DISTINCT {_EPID} AS persistence_id FROM events UNION SELECT DISTINCT {_OPID} FROM orders) SELECT persistence_id FROM ids")
+def persistence_ids_all(spark, sf_dir):
+    return journal.persistence_ids([fx.journal_deleted(spark, sf_dir), fx.journal_orders(spark, sf_dir)])
+
+
+@query("SELECT DISTINCT 'click|' || user_id::VARCHAR AS persistence_id FROM events WHERE event_type = 'click'")
+def persistence_ids_by_type(spark, sf_dir):
+    return journal.persistence_ids(fx.journal_deleted(spark, sf_dir), TYPE)
+
+
+@query(f"SELECT DISTINCT {_EPID} AS persistence_id FROM events WHERE {_EPID} > 'click|3' ORDER BY 1 LIMIT 50")
+def persistence_ids_after(spark, sf_dir):
+    return journal.persistence_ids(fx.journal_deleted(spark, sf_dir), after="click|3", limit=50)
+
+
+@query(f"SELECT DISTINCT {_EPID} AS persistence_id FROM events")
+def persistence_ids_paged(spark, sf_dir):
+    ids = list(journal.persistence_id_pages(fx.journal_events(spark, sf_dir), page=400))
+    return spark.createDataFrame([(i,) for i in ids], "persistence_id string")
+
+
+@query(f"WITH {_DELETED} SELECT persistence_id, max(db_timestamp) AS latest FROM d WHERE NOT deleted AND {_IN} AND db_timestamp BETWEEN {_ts(FROM)} AND {_ts(TO)} GROUP BY persistence_id ORDER BY latest DESC, persistence_id LIMIT 40")
+def persistence_ids_by_slices(spark, sf_dir):
+    return _shown(journal.persistence_ids_by_slices(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH, FROM, TO, 40), "persistence_id", "latest")
+
+
+@query(f"SELECT DISTINCT {_EPID} AS persistence_id FROM events ORDER BY 1 LIMIT 100")
+def state_ids_all(spark, sf_dir):
+    return state.state_ids(fx.states(spark, sf_dir), limit=100)
+
+
+@query("SELECT DISTINCT 'view|' || user_id::VARCHAR AS persistence_id FROM events WHERE event_type = 'view'")
+def state_ids_by_type(spark, sf_dir):
+    return state.state_ids(fx.states(spark, sf_dir), "view")
+
+
+# --- aggregations -----------------------------------------------------------------------------------------------------
+
+_BUCKET = "(epoch_us(db_timestamp) // 10000000) * 10"
+_COUNTS = f"b AS (SELECT {_BUCKET} AS bucket, count(*) AS count FROM d WHERE NOT deleted AND {_IN} AND db_timestamp BETWEEN {_ts(FROM)} AND least({_ts(NOW)}, {_ts(FROM)} + INTERVAL '{{0}} seconds') GROUP BY 1 ORDER BY 1 LIMIT {{1}})"
+
+
+@query(f"WITH {_DELETED}, {_COUNTS.format(100010, 10000)} SELECT bucket, count FROM b")
+def event_buckets(spark, sf_dir):
+    rows = journal.typed(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH).where(journal.live())
+    return buckets.count_buckets(rows, FROM, NOW)
+
+
+_END = int((FROM - dt.datetime(1970, 1, 1)).total_seconds()) + 5010
+
+
+@query(f"WITH {_DELETED}, {_COUNTS.format(5010, 500)} SELECT bucket, count FROM b UNION ALL SELECT {_END}, 0 WHERE NOT EXISTS (SELECT 1 FROM b WHERE bucket = {_END})")
+def append_empty_bucket(spark, sf_dir):
+    rows = journal.typed(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH).where(journal.live())
+    return buckets.with_empty_end(buckets.count_buckets(rows, FROM, NOW, 500), FROM, NOW, 500)
+
+
+@query(f"WITH {_STATE} SELECT {_BUCKET} AS bucket, count(*) AS count FROM st WHERE {_IN} GROUP BY 1")
+def state_buckets(spark, sf_dir):
+    rows = journal.typed(fx.states(spark, sf_dir), TYPE, LOW, HIGH)
+    return buckets.count_buckets(rows, buckets.EPOCH, dt.datetime(2030, 1, 1))
+
+
+@query(f"WITH {_DELETED}, {_COUNTS.format(100010, 10000)}, x AS (SELECT bucket, sum(count) OVER (ORDER BY bucket) AS cum FROM b WHERE bucket > {_END - 5010}) SELECT min(bucket) + 10 AS \"end\" FROM x WHERE cum >= 20")
+def find_time_for_limit(spark, sf_dir):
+    return buckets.time_for_limit(event_buckets(spark, sf_dir), FROM, 20)
+
+
+@query(f"WITH {_EVENTS} SELECT slice, count(*) AS events, count(DISTINCT persistence_id) AS ids FROM j GROUP BY slice")
+def slice_distribution(spark, sf_dir):
+    return fx.journal_events(spark, sf_dir).groupBy("slice").agg(F.count("*").alias("events"), F.count_distinct("persistence_id").alias("ids"))
+
+
+@query(f"WITH {_EVENTS} SELECT (slice // 256)::INTEGER AS data_partition, count(*) AS events FROM j GROUP BY 1")
+def data_partition_counts(spark, sf_dir):
+    return fx.journal_events(spark, sf_dir).groupBy(slices.data_partition("slice", 4).alias("data_partition")).agg(F.count("*").alias("events"))
+
+
+@query(f"WITH {_EVENTS} SELECT 'events-' || entity_type || '-' || ((slice // 8) * 8)::VARCHAR || '-' || ((slice // 8) * 8 + 7)::VARCHAR AS topic, count(*) AS events FROM j GROUP BY 1")
+def topic_counts(spark, sf_dir):
+    return fx.journal_events(spark, sf_dir).groupBy(slices.topic("entity_type", "slice").alias("topic")).agg(F.count("*").alias("events"))
+
+
+_A = rates.alpha(86400.0, 86400.0)
+
+
+@query(f"""WITH RECURSIVE {_EVENTS}, x AS (SELECT entity_type, epoch_us(db_timestamp) // 86400000000 AS t, count(*) / 86400.0::DOUBLE AS x FROM j GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY t) AS k FROM x),
+r AS (SELECT entity_type, k, x::DOUBLE AS rate FROM n WHERE k = 1 UNION ALL SELECT n.entity_type, n.k, {_A!r} * n.x + (1 - {_A!r}) * r.rate FROM r JOIN n ON n.entity_type = r.entity_type AND n.k = r.k + 1)
+SELECT entity_type, round(rate, 9) AS rate, rate < 400 AS publishes FROM r WHERE (entity_type, k) IN (SELECT (entity_type, max(k)) FROM n GROUP BY entity_type)""")
+def ewma_throughput(spark, sf_dir):
+    rows = rates.throughput(fx.journal_events(spark, sf_dir), "entity_type", 86400, 86400.0)
+    return rows.select("entity_type", F.round("rate", 9).alias("rate"), rates.publishes(F.col("rate")).alias("publishes"))
+
+
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, db_timestamp FROM (SELECT *, row_number() OVER (PARTITION BY persistence_id ORDER BY db_timestamp DESC, seq_nr DESC) AS n FROM d WHERE NOT deleted) WHERE n = 1")
+def latest_per_persistence_id(spark, sf_dir):
+    return _shown(rates.ranked(fx.journal_deleted(spark, sf_dir).where(journal.live())), "persistence_id", "seq_nr", "db_timestamp")
+
+
+@query(f"WITH {_STATE} SELECT slice, count(*) AS updated FROM st WHERE NOT gone GROUP BY slice")
+def change_handler_counts(spark, sf_dir):
+    return fx.states(spark, sf_dir).where(F.col("state_ser_id") != state.TOMBSTONE_SER_ID).groupBy("slice").agg(F.count("*").alias("updated"))
+
+
+# --- snapshots --------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_SNAP} SELECT j.persistence_id, j.seq_nr, CASE WHEN s.seq_nr = j.seq_nr THEN s.snapshot ELSE j.payload END AS event, CASE WHEN s.seq_nr = j.seq_nr THEN 'SN' ELSE '' END AS source, j.db_timestamp, j.tags FROM j LEFT JOIN s ON s.persistence_id = j.persistence_id WHERE j.seq_nr >= coalesce(s.seq_nr, 0)")
+def starting_from_snapshots(spark, sf_dir):
+    rows = snapshots.starting_from_snapshots(fx.journal_events(spark, sf_dir), fx.snapshots(spark, sf_dir))
+    return _shown(rows, "persistence_id", "seq_nr", "event", "source", "db_timestamp", "tags")
+
+
+@query(f"WITH {_SNAP} SELECT persistence_id, seq_nr, snapshot AS event, 'SN' AS source FROM s WHERE persistence_id = '{PID}' UNION ALL SELECT persistence_id, seq_nr, payload, '' FROM j WHERE persistence_id = '{PID}' AND seq_nr > (SELECT coalesce(max(seq_nr), 0) FROM s WHERE persistence_id = '{PID}')")
+def by_pid_starting_from_snapshot(spark, sf_dir):
+    rows = snapshots.by_persistence_id(fx.journal_events(spark, sf_dir), fx.snapshots(spark, sf_dir), PID, 1, 2**62)
+    return _shown(rows, "persistence_id", "seq_nr", "event", "source")
+
+
+@query(f"WITH {_SNAP} SELECT persistence_id, seq_nr, db_timestamp, tags FROM s")
+def snapshot_backfill(spark, sf_dir):
+    bare = fx.snapshots(spark, sf_dir).withColumns({"db_timestamp": F.lit(None).cast("timestamp"), "tags": F.lit(None).cast("array<string>")})
+    return _shown(snapshots.backfilled(bare, fx.journal_events(spark, sf_dir)), "persistence_id", "seq_nr", "db_timestamp", "tags")
+
+
+@query(f"WITH {_SNAP} SELECT persistence_id, seq_nr, snapshot FROM s WHERE persistence_id = '{PID}' AND seq_nr BETWEEN 1 AND 100")
+def snapshot_load(spark, sf_dir):
+    return _shown(snapshots.load_snapshot(fx.snapshots(spark, sf_dir), PID, min_seq_nr=1, max_seq_nr=100), "persistence_id", "seq_nr", "snapshot")
+
+
+@query(f"WITH {_SNAP} SELECT seq_nr FROM s WHERE persistence_id = '{PID}'")
+def snapshot_seq_nr(spark, sf_dir):
+    return snapshots.snapshot_seq_nr(fx.snapshots(spark, sf_dir), PID)
+
+
+@query(f"WITH {_SNAP} SELECT persistence_id, CASE WHEN entity_type = '{TYPE}' THEN 1 ELSE seq_nr END AS seq_nr FROM s")
+def snapshot_upsert(spark, sf_dir):
+    """A later write wins even with a lower number."""
+    old = fx.snapshots(spark, sf_dir)
+    return snapshots.upserted(old, old.where(F.col("entity_type") == TYPE).withColumn("seq_nr", F.lit(1).cast("long"))).select("persistence_id", "seq_nr")
+
+
+@query(f"WITH {_SNAP} SELECT persistence_id, seq_nr FROM s WHERE NOT (persistence_id = '{PID}')")
+def snapshot_delete(spark, sf_dir):
+    return snapshots.without(fx.snapshots(spark, sf_dir), PID).select("persistence_id", "seq_nr")
+
+
+# --- durable state ----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_STATE} SELECT any_value(value) AS value, coalesce(max(revision), 0) AS revision FROM st WHERE persistence_id = '{PID}'")
+def get_state(spark, sf_dir):
+    return _shown(state.get_state(fx.states(spark, sf_dir), PID), "value", "revision")
+
+
+@query(f"WITH {_STATE} SELECT persistence_id, revision, db_timestamp, CASE WHEN gone THEN 'deleted' ELSE 'updated' END AS change_type, value FROM st WHERE {_IN} AND db_timestamp >= {_ts(FROM)} AND db_timestamp < {_ts(NOW)}")
+def current_changes_by_slices(spark, sf_dir):
+    rows = state.changes(fx.states(spark, sf_dir), TYPE, LOW, HIGH, TimestampOffset(FROM), NOW)
+    return _shown(rows, "persistence_id", "revision", "db_timestamp", "change_type", "value")
+
+
+@query(f"WITH {_STATE} SELECT persistence_id, revision + CASE WHEN entity_type = '{TYPE}' THEN 1 ELSE 0 END AS revision, CASE WHEN entity_type = '{TYPE}' THEN 'new' ELSE value END AS value FROM st")
+def state_upsert(spark, sf_dir):
+    old = fx.states(spark, sf_dir)
+    new = old.where(F.col("entity_type") == TYPE).select("persistence_id", (F.col("revision") + 1).alias("revision"), F.lit(b"new").alias("state_payload"))
+    return _shown(writes.next_states(old, new, now=NOW).withColumn("value", state.value()), "persistence_id", "revision", "value")
+
+
+@query(f"WITH {_STATE} SELECT persistence_id, revision + CASE WHEN entity_type = '{TYPE}' THEN 1 ELSE 0 END AS revision, gone OR entity_type = '{TYPE}' AS gone FROM st WHERE entity_type <> 'error'")
+def state_delete(spark, sf_dir):
+    old = fx.states(spark, sf_dir)
+    gone = old.where(F.col("entity_type").isin(TYPE, "error")).select("persistence_id", F.when(F.col("entity_type") == TYPE, F.col("revision") + 1).otherwise(0).alias("revision"))
+    return writes.deleted_states(old, gone, NOW).select("persistence_id", "revision", (F.col("state_ser_id") == 0).alias("gone"))
+
+
+# --- merging and joins ------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_MIXED}, k AS (SELECT *, max(CASE WHEN source IN ('BT', 'HB') THEN db_timestamp END) OVER (PARTITION BY entity_type ORDER BY n ROWS UNBOUNDED PRECEDING) AS known FROM m)
+SELECT persistence_id, seq_nr, source, n FROM k WHERE source <> 'HB' AND (source <> 'PS' OR (known IS NOT NULL AND epoch_us(db_timestamp) - epoch_us(known) <= 7200000000))""")
+def skip_pubsub_too_far_ahead(spark, sf_dir):
+    return merge.without_too_far_ahead(fx.envelopes_mixed(spark, sf_dir), 7200, "n", "entity_type").select("persistence_id", "seq_nr", "source", "n")
+
+
+@query(f"WITH {_MIXED}, f AS (SELECT *, min(CASE WHEN source <> 'BT' THEN n END) OVER (PARTITION BY persistence_id, seq_nr) AS first FROM m) SELECT persistence_id, seq_nr, source, n FROM f WHERE source = 'BT' OR n = first")
+def deduplicate(spark, sf_dir):
+    return merge.deduplicated(fx.envelopes_mixed(spark, sf_dir), "n").select("persistence_id", "seq_nr", "source", "n")
+
+
+@query(f"WITH {_MIXED} SELECT source, count(*) AS envelopes FROM m GROUP BY source")
+def merge_db_and_pubsub(spark, sf_dir):
+    rows = fx.envelopes_mixed(spark, sf_dir)
+    return merge.merged(rows.where("source <> 'PS'"), rows.where("source = 'PS'")).groupBy("source").agg(F.count("*").alias("envelopes"))
+
+
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, payload AS event_payload FROM d WHERE NOT deleted AND {_IN}")
+def load_for_backtracking(spark, sf_dir):
+    rows = fx.journal_deleted(spark, sf_dir)
+    light = journal.events_by_slices_scan(rows, TYPE, LOW, HIGH, backtracking=True, limit=None)
+    return _shown(merge.with_payload(light, rows), "persistence_id", "seq_nr", "event_payload")
+
+
+# --- writes, clean-up, migration --------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, max(seq_nr) + 1 AS seq_nr, 1 AS writes, greatest(TIMESTAMP '2024-01-15 00:00:00', max(db_timestamp) + INTERVAL 1 MICROSECOND) AS db_timestamp FROM j GROUP BY persistence_id")
+def write_events(spark, sf_dir):
+    """One more event for each id, at a moment before some of their last ones."""
+    old = fx.journal_events(spark, sf_dir)
+    new = old.groupBy("persistence_id").agg((F.max("seq_nr") + 1).alias("seq_nr")).withColumn("event_payload", F.lit(b"new"))
+    return _shown(writes.new_events(new, old, dt.datetime(2024, 1, 15)).withColumn("writes", F.lit(1)), "persistence_id", "seq_nr", "writes", "db_timestamp")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr, false AS deleted FROM j WHERE entity_type <> '{TYPE}' OR seq_nr > 5 UNION ALL SELECT DISTINCT persistence_id, 5, true FROM j WHERE entity_type = '{TYPE}'")
+def delete_events_to(spark, sf_dir):
+    old = fx.journal_events(spark, sf_dir).drop("event_id", "user_id", "value")
+    targets = old.where(F.col("entity_type") == TYPE).select("persistence_id").distinct().withColumn("to_seq_nr", F.lit(5).cast("long"))
+    return cleanup.without_events_to(old, targets, now=NOW).select("persistence_id", "seq_nr", "deleted")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE NOT (persistence_id = '{PID}' AND db_timestamp < {_ts(FROM)})")
+def delete_events_before(spark, sf_dir):
+    return cleanup.without_events_before(fx.journal_events(spark, sf_dir), FROM, persistence_id=PID).select("persistence_id", "seq_nr")
+
+
+@query(f"WITH {_SNAP} SELECT j.persistence_id, j.seq_nr, false AS deleted FROM j LEFT JOIN s ON s.persistence_id = j.persistence_id WHERE j.seq_nr > coalesce(s.seq_nr, 0) UNION ALL SELECT persistence_id, seq_nr, true FROM s")
+def cleanup_before_snapshot(spark, sf_dir):
+    old = fx.journal_events(spark, sf_dir).drop("event_id", "user_id", "value")
+    return cleanup.without_events_before_snapshots(old, fx.snapshots(spark, sf_dir), now=NOW).select("persistence_id", "seq_nr", "deleted")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE seq_nr > 3 AND seq_nr % 5 <> 0")
+def migrate_events(spark, sf_dir):
+    """Each id's first three events were migrated before, and every fifth got there in some other way."""
+    source = fx.journal_events(spark, sf_dir)
+    progress = source.groupBy("persistence_id").agg(F.lit(3).cast("long").alias("event_seq_nr"))
+    target = source.where("seq_nr % 5 = 0")
+    return migrate.events_to_migrate(source, target, progress).select("persistence_id", "seq_nr")
+
+
+@query(f"WITH {_SNAP} SELECT (SELECT count(DISTINCT persistence_id) FROM j) AS persistence_ids, (SELECT count(*) FROM j) AS events, (SELECT count(*) FROM s) AS snapshots")
+def migration_result(spark, sf_dir):
+    return migrate.result(fx.journal_events(spark, sf_dir), fx.snapshots(spark, sf_dir))
+
+
+@query(f"WITH {_ORDERS} SELECT persistence_id, seq_nr, lag(db_timestamp) OVER (PARTITION BY persistence_id ORDER BY seq_nr) AS previous FROM c")
+def previous_timestamp(spark, sf_dir):
+    rows = fx.journal_orders(spark, sf_dir)
+    order = Window.partitionBy("persistence_id").orderBy("seq_nr")
+    return _shown(rows.withColumn("previous", F.lag("db_timestamp").over(order)), "persistence_id", "seq_nr", "previous")
