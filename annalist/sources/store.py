@@ -48,7 +48,10 @@ class Store:
             if schema is None:
                 raise KeyError(f"no table {table}")
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.option("mergeSchema", schema is None or None).parquet(*(f"{self.root}/{f}" for f in folders)).drop("data_partition")
+        return self._folders(table, folders).drop("data_partition")
+
+    def _folders(self, table: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*(f"{self.root}/{f}" for f in folders)).drop("batch")
 
     def journal(self, min_slice: int = 0, max_slice: int = SLICES - 1, table: str = "journal") -> DataFrame:
         """The journal, with folders outside a slice range left out."""
@@ -56,15 +59,15 @@ class Store:
         if not folders:
             return self.read(table)
         width = SLICES // self.partitions
-        rows = self.spark.read.parquet(*(f"{self.root}/{f}" for f in folders))
+        rows = self._folders(table, folders)
         return rows.where(F.col("data_partition").between(min_slice // width, max_slice // width) & F.col("slice").between(min_slice, max_slice)).drop("data_partition")
 
     def table_of(self, kind: str, entity_type: str) -> str:
         return self.own.get(entity_type, kind)
 
     def _written(self, table: str, rows: DataFrame) -> str:
-        name = f"{table}/{uuid.uuid4().hex}"
-        if "slice" in rows.columns:
+        name = f"{table}/batch={uuid.uuid4().hex}"
+        if {"slice", "entity_type", "persistence_id"} <= set(rows.columns):
             rows = rows.withColumn("data_partition", data_partition("slice", self.partitions))
             order = [c for c in ("entity_type", "data_partition", "slice", "db_timestamp") if c in rows.columns]
             rows.repartitionByRange(*order[:3], "persistence_id").sortWithinPartitions(*order).write.partitionBy("entity_type", "data_partition").parquet(f"{self.root}/{name}")
