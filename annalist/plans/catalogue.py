@@ -11,7 +11,11 @@ from annalist.functions import buckets, rates, slices
 from annalist.functions.offsets import TimestampOffset, last_offset
 from annalist.operators import cleanup, journal, merge, migrate, snapshots, state, writes
 from annalist.sources import fixtures as fx
+from annalist.sources import scratch
 from annalist.sources.fixtures import zoneless
+from annalist.sources.schema import JOURNAL, STATE
+from annalist.sources.store import Store
+from annalist.streaming import live
 
 TYPE, LOW, HIGH = "click", 0, 255
 PID = "click|42"
@@ -440,3 +444,70 @@ def previous_timestamp(spark, sf_dir):
     rows = fx.journal_orders(spark, sf_dir)
     order = Window.partitionBy("persistence_id").orderBy("seq_nr")
     return _shown(rows.withColumn("previous", F.lag("db_timestamp").over(order)), "persistence_id", "seq_nr", "previous")
+
+
+# --- the store and its streams ----------------------------------------------------------------------------------------
+
+
+def _stored_journal(spark, sf_dir, tombstones: bool = False):
+    """The journal in a store of its own, in two commits."""
+    rows = (fx.journal_deleted if tombstones else fx.journal_events)(spark, sf_dir).select(*JOURNAL.names)
+    store = Store(spark, scratch.folder(spark))
+    for part in (0, 1):
+        store.commit(appends={"journal": rows.where(F.col("seq_nr") % 2 == part)})
+    return store
+
+
+@query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM d WHERE NOT deleted AND {_IN} AND db_timestamp >= {_ts(FROM)} ORDER BY db_timestamp, seq_nr, persistence_id LIMIT 1000")
+def store_slice_scan(spark, sf_dir):
+    return _shown(journal.events_by_slices_scan(_stored_journal(spark, sf_dir, True).journal(LOW, HIGH), TYPE, LOW, HIGH, FROM), *_ROW)
+
+
+@query(f"WITH {_STATE} SELECT s.persistence_id, s.revision + 1 AS revision, j.top + 1 AS seq_nr FROM st s JOIN (SELECT persistence_id, max(seq_nr) AS top FROM j GROUP BY 1) j USING (persistence_id) WHERE s.entity_type = '{TYPE}'")
+def store_state_with_events(spark, sf_dir):
+    """States and the events that tell of them, published by one commit and read back."""
+    store, old = _stored_journal(spark, sf_dir), fx.states(spark, sf_dir)
+    new = old.where(F.col("entity_type") == TYPE).select("persistence_id", (F.col("revision") + 1).alias("revision"), F.lit(b"new").alias("state_payload"))
+    after = writes.next_states(old, new, NOW)
+    store.commit(rewrites={"state": after}, appends={"journal": writes.change_events(new, store.read("journal"), F.lit("changed"), NOW)})
+    told = store.read("journal").where(F.col("event_payload") == b"changed").select("persistence_id", "seq_nr")
+    return store.read("state").select("persistence_id", "revision").join(told, "persistence_id")
+
+
+def _journal_stream(spark, sf_dir, files: int = 3):
+    path = scratch.folder(spark)
+    rows = fx.journal_deleted(spark, sf_dir).select(*JOURNAL.names)
+    rows.repartition(files, "persistence_id").write.parquet(path)
+    return live.stream(spark, path, JOURNAL)
+
+
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, db_timestamp FROM d WHERE NOT deleted AND {_IN}")
+def live_events_by_slices(spark, sf_dir):
+    rows = live.events_by_slices(_journal_stream(spark, sf_dir), TYPE, LOW, HIGH)
+    return _shown(live.drained(rows, scratch.folder(spark)), "persistence_id", "seq_nr", "db_timestamp")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr, db_timestamp FROM j WHERE persistence_id = '{PID}' AND seq_nr >= 3")
+def live_events_by_persistence_id(spark, sf_dir):
+    rows = live.events_by_persistence_id(_journal_stream(spark, sf_dir), PID, 3)
+    return _shown(live.drained(rows, scratch.folder(spark)), "persistence_id", "seq_nr", "db_timestamp")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE entity_type = '{TYPE}'")
+def live_events_in_sequence(spark, sf_dir):
+    rows = live.in_sequence(_journal_stream(spark, sf_dir).where(F.col("entity_type") == TYPE))
+    return live.drained(rows, scratch.folder(spark))
+
+
+@query(f"WITH {_STATE} SELECT persistence_id, revision, CASE WHEN gone THEN 'deleted' ELSE 'updated' END AS change_type FROM st WHERE {_IN}")
+def live_changes_by_slices(spark, sf_dir):
+    path = scratch.folder(spark)
+    fx.states(spark, sf_dir).select(*STATE.names).write.parquet(path)
+    rows = live.changes_by_slices(live.state_stream(spark, path), TYPE, LOW, HIGH).select("persistence_id", "revision", "change_type")
+    return live.drained(rows, scratch.folder(spark))
+
+
+@query(f"SELECT DISTINCT {_EPID} AS persistence_id FROM events")
+def state_ids_paged(spark, sf_dir):
+    ids = list(journal.persistence_id_pages(fx.states(spark, sf_dir), page=300))
+    return spark.createDataFrame([(i,) for i in ids], "persistence_id string")

@@ -119,3 +119,10 @@ def heartbeat(entity_type: str, min_slice: int, nth: int) -> str:
         if abs((h - (1 << 32) if h >= 1 << 31 else h)) % 1024 == min_slice:
             return pid
         n += 1
+
+
+def drained(rows: DataFrame, folder: str) -> DataFrame:
+    """All that a stream gives for the files there are now, by way of files in folder."""
+    query = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
