@@ -10,7 +10,8 @@ mark, so piece weights that sum to one give a distribution over words, and the p
 its words' marginals and the end's: the log-space forward recursion runs once for each distinct word of the corpus and
 not once for each occurrence. In the scored lattice a word that the training text has is one more edge, from its begin
 to its end. Absolute discounting weights it: (c - D) / N for the edge, D * V / N for all segmentations into pieces
-together, which keeps the sum over all words at one.
+together, which keeps the sum over all words at one. D is n1 / (n1 + 2 n2), n1 and n2 being the numbers of words that
+occur once and twice.
 
 Where the work runs: word counts are a shuffled aggregation with a partial count in each task; the lattice runs over
 partitions of the distinct words, vectorised over words of equal length; a bounded table of the most frequent words is
@@ -33,7 +34,6 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Words, of at most so many bytes each, that go to every task.
 FREQUENT, FREQUENT_BYTES = 65_536, 64
 ROUNDS = 2
-DISCOUNT = 0.75
 PRIOR = 1000.0
 MARK = b" "
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -165,9 +165,9 @@ def _expected(pieces: list[bytes], log_weights: np.ndarray):
     return run
 
 
-def _marginals(pieces: list[bytes], log_weights: list[np.ndarray], n: int, v: int):
+def _marginals(pieces: list[bytes], log_weights: list[np.ndarray], n: int, v: int, discount: float):
     """(word, c, lp, lp0): log10 of the word's probability with all edges, and by the vocabulary's weights alone."""
-    spread = DISCOUNT * v / n if n else 0.5
+    spread = discount * v / n if n else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, weights = Lattice(pieces), [np.append(w, -np.inf) for w in log_weights]
@@ -177,7 +177,7 @@ def _marginals(pieces: list[bytes], log_weights: list[np.ndarray], n: int, v: in
                 edges = lattice.edges(rows)
                 for k, w in enumerate(weights):
                     out[k, at] = Lattice.forward(edges, w, *rows.shape)[rows.shape[1]] / _LOG10
-            edge = np.maximum(np.array(counts, float) - DISCOUNT, 0) / max(n, 1)
+            edge = np.maximum(np.array(counts, float) - discount, 0) / max(n, 1)
             with np.errstate(divide="ignore"):
                 out[0] = np.logaddexp(out[0] * _LOG10 + np.log(spread), np.log(edge)) / _LOG10
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64()), *map(pa.array, out)], ["word", "c", "lp", "lp0"])
@@ -220,9 +220,10 @@ def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     source = texts(docs, id_col, text_col).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False)).alias("held_out"), "text")
     counts = stored(source.select("held_out", "text").mapInArrow(_counted(), "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    tokens, kinds, texts_in = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).crossJoin(source.agg(F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0)))).first()
+    tokens, kinds, once, twice, texts_in = counts.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).crossJoin(source.agg(F.coalesce(F.sum((~F.col("held_out")).cast("long")), F.lit(0)))).first()
     n, v = tokens + texts_in, kinds + (texts_in > 0)
     floor = float(np.log10(n + v + 1))
+    discount = min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
     first = vocabulary(path)
     pieces = list(first)
@@ -234,10 +235,10 @@ def lattice_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         use[got["piece"].to_numpy()] += got["c"].to_numpy()
         weights = np.log(use / use.sum())
 
-    scored = stored(counts.mapInArrow(_marginals(pieces, [weights, start], n, v), "word binary, c long, lp double, lp0 double"), "marginals")
+    scored = stored(counts.mapInArrow(_marginals(pieces, [weights, start], n, v, discount), "word binary, c long, lp double, lp0 double"), "marginals")
     top = scored.where(F.length("word") <= FREQUENT_BYTES).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow().to_pydict()
     frequent = {w: (int(c > 0), float(np.log10(c + 1) - floor), lp, lp0) for w, c, lp, lp0 in zip(*top.values(), strict=True)}
-    end = float(np.log10((texts_in - DISCOUNT) / n)) if texts_in else float(np.log10(0.5))
+    end = float(np.log10((texts_in - discount) / n)) if texts_in else float(np.log10(0.5))
     ended = (int(texts_in > 0), float(np.log10(texts_in + 1) - floor), end, end)
 
     rows = source.mapInArrow(_scored(frequent, ended), "uid long, word binary, tf long, doc_id long, held_out boolean, n_tokens long, known long, base double, lp0_ double, lp1_ double")
