@@ -6,11 +6,11 @@ occur together, corpus counts of distinct texts give
     IC(c) = -log2 P(c),   PMI(c; t) = log2 P(c, t) / (P(c) P(t)) = IC(c) - log2(df(t) / df(c, t)).
 
 A term whose PMI exceeds ALPHA * IC(c) discloses the entity and is generalised where they occur together; one that
-gives all of IC(c) away (it occurs with no other) is removed. Support of at least MIN_TEXTS distinct texts is asked
-for, since in fewer any rare word would do; equal texts count once.
+gives all of IC(c) away (it occurs with no other) is removed. df counts rows of the corpus. Entity and term must meet in
+at least MIN_TEXTS texts that differ, since in fewer any rare word would do, and copies of one text tell no more.
 
 Only texts with a trigger character of some pattern are searched for entities. Term counts of the whole corpus are one
-aggregation, filtered first to the terms that occur with an entity often enough.
+aggregation with partial counts in each task.
 """
 
 from __future__ import annotations
@@ -79,20 +79,22 @@ def entity(kind: Column, m: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind == "email", F.lower(m)).when(kind == "ip", m).otherwise(_digits(m)))
 
 
+def lower_terms(column: str) -> Column:
+    """Distinct terms of a text in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(column), F.lit(TERM), F.lit(0)))
+
+
 def disclosing(docs_text: DataFrame, hits: DataFrame, spans: DataFrame, alpha: float = ALPHA, min_texts: int = MIN_TEXTS) -> DataFrame:
     """(entity, term, removed): terms that exceed the threshold. docs_text(text) is the whole corpus."""
-    # equal texts count once: their first row stands for them
-    first = hits.groupBy(F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("uid").alias("uid")).select("uid")
-    own = stored(spans.where("kind <> 'term'").select("uid", entity(F.col("kind"), F.col("m")).alias("entity")).distinct().join(first, "uid"), "entities")
-    df_c = own.groupBy("entity").agg(F.count("*").alias("dc")).where(F.col("dc") >= min_texts)
-    several = own.join(df_c, "entity").select("uid", "entity", "dc")
-    terms = hits.join(several.select("uid").distinct(), "uid").select("uid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    pairs = stored(several.join(terms, "uid").groupBy("entity", "term", "dc").agg(F.count("*").alias("both")).where(F.col("both") >= min_texts), "pairs")
-    wanted = pairs.select("term").distinct()
-    corpus = docs_text.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)))).alias("w"))
-    seen = corpus.select("h", F.lower("w").alias("term")).join(wanted, "term").distinct()
-    df_t = seen.groupBy("term").agg(F.count("*").alias("dt"))
-    n = max(1, docs_text.select(F.approx_count_distinct(F.xxhash64("text"), 0.01)).first()[0])
+    own = stored(spans.where("kind <> 'term'").select("uid", entity(F.col("kind"), F.col("m")).alias("entity")).distinct().join(hits.select("uid", F.xxhash64("text").alias("h")), "uid"), "entities")
+    df_c = own.groupBy("entity", "h").agg(F.count("*").alias("c")).groupBy("entity").agg(F.sum("c").alias("dc"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+    several = own.join(df_c, "entity").select("uid", "h", "entity", "dc")
+    terms = hits.join(several.select("uid").distinct(), "uid").select("uid", F.explode(lower_terms("text")).alias("term"))
+    pairs = several.join(terms, "uid").groupBy("entity", "term", "dc", "h").agg(F.count("*").alias("c")).groupBy("entity", "term", "dc").agg(F.sum("c").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= min_texts)
+    pairs = stored(pairs, "pairs")
+    # counted in each task first, so the shuffle carries a task's distinct terms and not their occurrences
+    df_t = docs_text.select(F.explode(lower_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("dt"))
+    n = max(1, docs_text.count())
     ic = F.log2(F.lit(float(n)) / F.col("dc"))
     lost = F.log2(F.col("dt") / F.col("both"))
     return pairs.join(df_t, "term").where((ic > 0) & (ic - lost >= alpha * ic)).select("entity", "term", (F.col("dt") <= F.col("both")).alias("removed"))
