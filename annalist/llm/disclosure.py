@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation, in DataFrame operations only.
 
 Protected entities are the values of four base patterns (email, ip, card, phone). For a term t and an entity c that
-occur together, corpus counts of distinct texts give
+occur together, corpus counts give
 
     IC(c) = -log2 P(c),   PMI(c; t) = log2 P(c, t) / (P(c) P(t)) = IC(c) - log2(df(t) / df(c, t)).
 
