@@ -367,6 +367,27 @@ def test_decontamination_recall_and_distance(spark):
             assert x == distance(decontaminate.normal(items[i][1]).decode(), decontaminate.normal(docs[d][1]).decode())
 
 
+def test_decontamination_without_spaces():
+    """Exact and edited passages in the middle of Chinese, Thai and unspaced Latin text."""
+    import random
+
+    rng = random.Random(4)
+    for letters in ([chr(c) for c in range(0x4E00, 0x5200)], [chr(c) for c in range(0xE01, 0xE2F)], list("abcdefghijklmnopqrstuvwxyz0123456789")):
+        prose = lambda n: "".join(rng.choice(letters) for _ in range(n))  # noqa: E731, B023
+        items = [(i, prose(rng.randrange(80, 200))) for i in range(12)]
+        docs, leaks = [], set()
+        for d in range(48):
+            i, item = items[d % 12]
+            chars = list(item)
+            for _ in range(int(len(item) * 0.08) if d >= 24 else 0):
+                at = rng.randrange(len(chars))
+                chars[at : at + 1] = rng.choice([[], [rng.choice(letters)], [chars[at], rng.choice(letters)]])
+            docs.append((prose(300) + "".join(chars) + prose(300)).encode() if d % 2 else prose(900).encode())
+            leaks |= {(d, i)} if d % 2 else set()
+        found = decontaminate.Items(items).find(docs)
+        assert {(d, items[k][0]) for d, k, _ in found} == leaks
+
+
 def test_decontamination_tables(spark, docs, sf_dir, odd, none):
     benchmark = common.table(spark, sf_dir, "benchmark")
     text = {r.item_id: decontaminate.normal(r.text).decode() for r in benchmark.collect()}
