@@ -7,6 +7,10 @@ begin at every word of an item and text windows at every word of a text, and in
 are not set apart by spaces, so one unedited stretch of a passage is enough, wherever the edits are. A candidate fixes the item-sized window of the text, and the window, with some slack,
 is verified by its exact edit distance.
 
+Items under LONG bytes have too few windows for that at 15 % edits. They are cut into short pieces; with k edits allowed,
+all but k pieces of an edited item are whole, so a text has so many of them in order, moved by the edits at most. Tables
+of all their places find every such group, and the same exact edit distance verifies it: no item is missed.
+
 The texts are read once, without a shuffle. The items are a stated query set, shipped to the tasks in blocks of at
 most ITEMS, of which the driver holds one at a time.
 """
@@ -25,8 +29,13 @@ from annalist.llm.common import slices, texts
 
 #: Items to a block.
 ITEMS = 5000
+#: Items under LONG bytes are found by pieces of 5 bytes, or of fewer where not two of 5 are sure to be whole. Those
+#: under WHOLE bytes allow no edit, or one that would make another word of them, and must occur as they are.
+LONG, WHOLE = 200, 10
+#: Bytes of text searched for pieces at a time.
+PART = 1 << 18
 #: Walks, the steps of each, and the sampled steps of each. With these a window of 32 unedited characters is found by
-#: every table, and the tests measure a recall of 1.0 for up to 10 % of characters edited.
+#: every table. The README has the measured recall by length and edits.
 TABLES, STEPS, SAMPLED = 4, 56, 16
 EDITS = 0.15
 #: With no space in so many bytes before it, any code point of a text begins a window. From U+0800 on (lead bytes from
@@ -78,6 +87,87 @@ def item_begins(n: bytes) -> np.ndarray:
     return np.flatnonzero(mark)
 
 
+def pieces(text: str, size: int) -> list[tuple[int, bytes]]:
+    """(place, first size bytes) of consecutive pieces, each of the fewest code points with size bytes."""
+    out, at, part = [], 0, b""
+    for c in text:
+        part += c.encode()
+        if len(part) >= size:
+            out.append((at, part[:size]))
+            at, part = at + len(part), b""
+    return out
+
+
+class Pieces:
+    """Places of the pieces of short items, by their bytes; of items that need so many of them."""
+
+    def __init__(self, size: int, items: list[tuple[int, str, int]]):
+        self.size = size
+        rows = [(int.from_bytes(p, "big"), k, at) for k, t, _ in items for at, p in pieces(t, size)]
+        key, self.owner, self.offset = (np.array(x, np.int64) for x in zip(*sorted(rows), strict=True))
+        self.keys, self.first, self.count = np.unique(key, return_index=True, return_counts=True)
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[_slot(self.keys.astype(np.uint64) * _M)] = True
+        last = max(k for k, _, _ in items) + 1
+        self.need, self.band, self.wide = (np.zeros(last, np.int64) for _ in range(3))
+        for k, t, most in items:
+            self.need[k], self.band[k] = len(pieces(t, size)) - most, most
+            self.wide[k] = max(len(c.encode()) for c in t)
+
+    def groups(self, docs: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(position in docs, item, place) of groups of as many pieces as an edited item keeps."""
+        ends = np.cumsum([len(d) + 1 for d in docs])
+        buffer = np.frombuffer(b"\n".join(docs) + b"\n", np.uint8)
+        n = len(buffer) - self.size + 1
+        if n <= 0:
+            return
+        h = np.zeros(n, np.uint64)
+        for j in range(self.size):
+            h = h << np.uint64(8) | buffer[j : j + n]
+        at = np.flatnonzero(self.sieve[_slot(h * _M)])
+        h = h[at].astype(np.int64)
+        x = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        hit = self.keys[x] == h
+        at, x = at[hit], x[hit]
+        each = self.count[x]
+        row = np.repeat(self.first[x], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        at = np.repeat(at, each)
+        d = np.searchsorted(ends, at, "right")
+        k, place = self.owner[row], at - self.offset[row]
+        # documents lie far apart, so no group reaches from one into the next
+        order = np.lexsort((place + d * 4096, k))
+        d, k, place = d[order], k[order], place[order]
+        wide = place + d * 4096
+        other = np.arange(len(k)) + self.need[k] - 1
+        inside = other < len(k)
+        i, other = np.flatnonzero(inside), other[inside]
+        begin = ends - np.array([len(t) + 1 for t in docs])
+        # an edit moves the rest by the bytes of the widest code point at most
+        top = np.maximum.reduceat(buffer, begin)
+        band = self.band[k[i]] * np.maximum(1 + (top >= 0xC0) + (top >= 0xE0) + (top >= 0xF0), 1)[d[i]]
+        band = np.maximum(band, self.band[k[i]] * self.wide[k[i]])
+        near = (k[other] == k[i]) & (wide[other] - wide[i] <= band)
+        offset = self.offset[row][order]
+        for j, b in zip(i[near].tolist(), band[near].tolist(), strict=True):
+            # a piece that the text repeats counts once
+            end = j + int(np.searchsorted(wide[j : j + 64 * (b + 1)], wide[j] + b, "right"))
+            item = k[j]
+            if len(set(offset[j:end][k[j:end] == item].tolist())) >= self.need[item]:
+                yield int(d[j]), int(item), int(place[j] - begin[d[j]])
+
+
+def bounded(text: str, item: str) -> bool:
+    """Whether item occurs in text with no letter or digit of a spaced script going on at its ends."""
+    goes_on = lambda a, b: a.isalnum() and b.isalnum() and ord(a) < 0x800 and ord(b) < 0x800
+    at = text.find(item)
+    while at >= 0:
+        end = at + len(item)
+        if not (at and goes_on(text[at - 1], item[0])) and not (end < len(text) and goes_on(item[-1], text[end])):
+            return True
+        at = text.find(item, at + 1)
+    return False
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) * _M >> np.uint64(44)).astype(np.int64)
 
@@ -111,9 +201,21 @@ class Items:
         self.masks: dict[int, dict[str, int]] = {}
         self.walks = walks()
         self.tables, self.sieves = [], []
-        # Items too short for a window are looked up as they are.
-        self.short = [k for k, (_, n) in enumerate(self.items) if len(n) < STEPS]
-        long = [k for k in range(len(self.items)) if len(self.items[k][1]) >= STEPS]
+        sizes = [len(n) for _, n in self.items]
+        self.whole = [k for k, n in enumerate(sizes) if n < WHOLE or not self.most[k]]
+        whole = set(self.whole)
+        cut: dict[int, list[tuple[int, str, int]]] = {q: [] for q in (5, 4, 3, 2, 1)}
+        long = []
+        for k, t in enumerate(self.text):
+            if k in whole:
+                continue
+            size = next((q for q in cut if len(pieces(t, q)) - self.most[k] >= (2 if q == 5 else 1)), None)
+            if size is not None and sizes[k] < LONG:
+                cut[size].append((k, t, self.most[k]))
+            else:
+                long.append(k)
+        self.pieces = [Pieces(q, x) for q, x in cut.items() if x]
+        self.cut = {k for x in cut.values() for k, _, _ in x}
         raw = b"\n".join(self.items[k][1] for k in long) + b"\n" * (STEPS + 2)
         buffer = np.frombuffer(raw, np.uint8)
         starts, owner, offset, stop = [], [], [], []
@@ -172,6 +274,8 @@ class Items:
         starts = begins(buffer[: ends[-1]])
         spots: dict[tuple[int, int], set[int]] = {}
         for walk, table, sieve in zip(self.walks, self.tables, self.sieves, strict=True):
+            if not table:
+                continue
             row, h, _ = embedded(buffer, starts, walk, sieve)
             for r, key in zip(row.tolist(), h.tolist(), strict=True):
                 p = int(starts[r])
@@ -179,9 +283,15 @@ class Items:
                     d = int(np.searchsorted(ends, p, "right"))
                     if d < len(docs):
                         spots.setdefault((d, k), set()).add(p - int(begin[d]) - o)
+        if self.pieces:
+            cuts = np.flatnonzero(np.diff(ends // PART)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs)], strict=True):
+                for part in self.pieces:
+                    for d, k, p in part.groups(docs[lo:hi]):
+                        spots.setdefault((lo + d, k), set()).add(p)
         for (d, k), at in spots.items():
             size, last, best = len(self.items[k][1]), None, None
-            slack = max(8, int(size * EDITS) * 2)
+            slack = 6 * self.most[k] if k in self.cut else max(8, int(size * EDITS) * 2)
             for p in sorted(at):
                 if last is not None and p - last < slack // 4:  # the window before covers it
                     continue
@@ -193,10 +303,9 @@ class Items:
                     break
             if best is not None and best <= self.most[k]:
                 yield d, k, best
-        for k in self.short:
-            n = b" " + self.items[k][1] + b" "
+        for k in self.whole:
             for d, text in enumerate(docs):
-                if n in b" " + text + b" ":
+                if self.items[k][1] in text and bounded(text.decode("utf-8", "ignore"), self.text[k]):
                     yield d, k, 0
 
 
@@ -213,8 +322,8 @@ def _matched(items: list[tuple[int, str]], edits: float):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edits: float = EDITS) -> DataFrame:
     """(doc_id, item_id, distance, item_chars): texts with a part within edits * length of an item, by edit distance.
 
-    Case of A-Z and white space don't count. A null or empty text or item matches nothing; items shorter than STEPS
-    bytes must occur word for word. Repeated rows and items give repeated matches; distinct() makes a set of them. An
+    Case of A-Z and white space don't count. A null or empty text or item matches nothing; items shorter than
+    WHOLE bytes, or with no edit to allow, must occur as they are, with no letter or digit next to them. Repeated rows and items give repeated matches; distinct() makes a set of them. An
     empty table on either side gives no row.
     """
     docs = texts(docs, id_col, text_col)

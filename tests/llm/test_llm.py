@@ -388,6 +388,33 @@ def test_decontamination_without_spaces():
         assert {(d, items[k][0]) for d, k, _ in found} == leaks
 
 
+def test_decontamination_of_short_items():
+    """Items of 20 to 190 bytes at 10 and 15 % edits, and whole ones in quotes and brackets: all are found."""
+    import random
+
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 9))) for _ in range(2000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items = [(i, prose(60)[:n].strip()) for i, n in enumerate(x for x in (20, 25, 30, 45, 60, 75, 90, 120, 150, 190) for _ in range(6))]
+    items += [(100, "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"), (101, "q7 answer")]
+    docs, leaks = [], set()
+    for d in range(240):
+        i, item = items[d % 60]
+        edited = list(item)
+        for _ in range(int(len(item) * (0.10 if d < 120 else 0.15))):
+            at = rng.randrange(len(edited))
+            edited[at : at + 1] = rng.choice([[], [rng.choice(letters)], [edited[at], rng.choice(letters)]])
+        docs.append(f"{prose(60)} ({''.join(edited)}) {prose(60)}".encode())
+        leaks.add((d, i))
+    docs += ["\u6211\u8bf4\u4eca\u5929\u5929\u6c14\u5f88\u574f\u6211\u4eec\u53bb\u516c\u56ed\u5427".encode(), b'the "q7 answer" is', b"the q7 answers are"]
+    leaks |= {(240, 100), (241, 101)}
+    block = decontaminate.Items(items)
+    got = {(d, items[k][0]) for d, k, _ in block.find(docs)}
+    assert leaks <= got and (242, 101) not in got
+    assert all(block.distance(k, docs[d].decode()) <= block.most[k] for d, k, _ in block.find(docs))
+
+
 def test_decontamination_tables(spark, docs, sf_dir, odd, none):
     benchmark = common.table(spark, sf_dir, "benchmark")
     text = {r.item_id: decontaminate.normal(r.text).decode() for r in benchmark.collect()}
