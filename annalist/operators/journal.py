@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.offsets import TimestampOffset, at, from_time, offset_column, unseen
@@ -143,14 +143,24 @@ def persistence_ids(tables: list[DataFrame] | DataFrame, entity_type: str | None
     return ordered if limit is None else ordered.limit(limit)
 
 
-def persistence_id_pages(tables, page: int = BUFFER, **where):
-    """All ids, page after page, each from where the last ended."""
-    after = None
-    while rows := [r[0] for r in persistence_ids(tables, after=after, limit=page, **where).collect()]:
-        yield from rows
-        after = rows[-1]
-        if len(rows) < page:
-            return
+def persistence_id_page(tables, after: str | None = None, page: int = BUFFER, entity_type: str | None = None) -> DataFrame:
+    """The page of ids that follows one: the keyset form, for a reader that goes on from the last id it got."""
+    return persistence_ids(tables, entity_type, after, page)
+
+
+def numbered_pages(ids: DataFrame, page: int, folder: str) -> DataFrame:
+    """(persistence_id, page): all ids in order, dealt into pages.
+
+    The ids are sorted by range and written to folder with their partition; ids before a partition are the counts of
+    those before it, one number for each partition, so no task numbers all ids and none pass through the driver.
+    """
+    spark = ids.sparkSession
+    ids.select("persistence_id").repartitionByRange("persistence_id").sortWithinPartitions("persistence_id").select("persistence_id", F.monotonically_increasing_id().alias("_n")).write.parquet(folder)
+    rows = spark.read.schema("persistence_id string, _n long").parquet(folder)
+    part, place = F.shiftright("_n", 33), F.col("_n").bitwiseAND((1 << 33) - 1)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_c"))
+    before = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each partition
+    return rows.withColumn("_part", part).join(F.broadcast(before), "_part").select("persistence_id", F.floor((F.col("_before") + place) / page).alias("page"))
 
 
 def persistence_ids_by_slices(journal: DataFrame, entity_type: str, min_slice: int, max_slice: int, from_ts=None, to_ts=None, limit: int | None = None) -> DataFrame:
@@ -164,16 +174,20 @@ def persistence_ids_by_slices(journal: DataFrame, entity_type: str, min_slice: i
     return ordered if limit is None else ordered.limit(limit)
 
 
-def replay(journal: DataFrame, persistence_id: str, from_seq_nr: int, to_seq_nr: int, most: int) -> tuple[DataFrame, int]:
-    """(events to replay, highest seq_nr). from -1 asks for the last event only; to or most of 0 for none."""
-    highest = highest_seq_nr(journal, persistence_id).first()["highest"]
-    everything = events_by_persistence_id(journal, persistence_id, include_deleted=False)
+def replay(journal: DataFrame, persistence_id: str, from_seq_nr: int, to_seq_nr: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(events to replay, one row with the highest seq_nr). from -1 asks for the last event only; to or most of 0 for none.
+
+    Without a limit, and of the last event only, the highest number is that of the last row read, 0 where none was;
+    such a row may be a tombstone, which isn't replayed. Otherwise it is the highest there is from from_seq_nr on.
+    """
+    top = 2**63 - 1
     if to_seq_nr <= 0 or most == 0:
-        return everything.limit(0), highest
+        return journal.limit(0), highest_seq_nr(journal, persistence_id, from_seq_nr)
     if from_seq_nr == -1:
-        return load_last_event(journal, persistence_id, to_seq_nr), highest
-    last = min(to_seq_nr, from_seq_nr + most - 1) if most < 2**63 - 1 else to_seq_nr
-    return events_by_persistence_id(journal, persistence_id, from_seq_nr, last), highest
+        last = load_last_event(journal, persistence_id, to_seq_nr, include_deleted=True)
+        return last.where(live()), last.agg(F.coalesce(F.max("seq_nr"), F.lit(0)).alias("highest"))
+    end = to_seq_nr if most == top else min(to_seq_nr, from_seq_nr + most - 1)
+    return events_by_persistence_id(journal, persistence_id, from_seq_nr, end), highest_seq_nr(journal, persistence_id, from_seq_nr)
 
 
 def with_tag(rows: DataFrame, tag: str) -> DataFrame:

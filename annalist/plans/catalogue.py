@@ -17,9 +17,9 @@ from annalist.sources.schema import JOURNAL, STATE
 from annalist.sources.store import Store
 from annalist.streaming import live
 
-TYPE, LOW, HIGH = "click", 0, 255
-PID = "click|42"
-FROM, TO, NOW = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 25)
+TYPE, LOW, HIGH = "click", 512, 767
+PID = "click|12"
+FROM, TO, NOW, LATER = dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 25), dt.datetime(2024, 2, 20)
 DAY, SEEN = dt.datetime(1998, 6, 1), {"Customer|1": 2, "Customer|7": 3, "Customer|100": 5}
 
 QUERIES: dict = {}
@@ -119,9 +119,9 @@ def events_by_persistence_id(spark, sf_dir):
     return _shown(journal.events_by_persistence_id(fx.journal_deleted(spark, sf_dir), PID, 2, 9), *_ROW)
 
 
-@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, deleted, CASE WHEN deleted THEN NULL ELSE payload END AS event_payload, CASE WHEN deleted THEN 0 ELSE 1 END AS event_ser_id FROM d WHERE persistence_id = 'view|40'")
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, deleted, CASE WHEN deleted THEN NULL ELSE payload END AS event_payload, CASE WHEN deleted THEN 0 ELSE 1 END AS event_ser_id FROM d WHERE persistence_id = 'view|10'")
 def events_by_persistence_id_incl_deleted(spark, sf_dir):
-    return _shown(journal.events_by_persistence_id(fx.journal_deleted(spark, sf_dir), "view|40", include_deleted=True), "persistence_id", "seq_nr", "deleted", "event_payload", "event_ser_id")
+    return _shown(journal.events_by_persistence_id(fx.journal_deleted(spark, sf_dir), "view|10", include_deleted=True), "persistence_id", "seq_nr", "deleted", "event_payload", "event_ser_id")
 
 
 @query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM d WHERE persistence_id = '{PID}' AND seq_nr = 3 AND NOT deleted")
@@ -134,9 +134,9 @@ def load_last_event(spark, sf_dir):
     return _shown(journal.load_last_event(fx.journal_deleted(spark, sf_dir), PID, 6), *_ROW)
 
 
-@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, deleted FROM d WHERE persistence_id = 'view|40' ORDER BY seq_nr DESC LIMIT 1")
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, deleted FROM d WHERE persistence_id = 'view|10' ORDER BY seq_nr DESC LIMIT 1")
 def load_last_event_incl_deleted(spark, sf_dir):
-    return _shown(journal.load_last_event(fx.journal_deleted(spark, sf_dir), "view|40", include_deleted=True), "persistence_id", "seq_nr", "deleted")
+    return _shown(journal.load_last_event(fx.journal_deleted(spark, sf_dir), "view|10", include_deleted=True), "persistence_id", "seq_nr", "deleted")
 
 
 @query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM (SELECT *, row_number() OVER (PARTITION BY persistence_id ORDER BY seq_nr DESC) AS n FROM d WHERE NOT deleted) WHERE n = 1")
@@ -160,9 +160,9 @@ def latest_event_timestamp_per_slice(spark, sf_dir):
     return _shown(rows.groupBy("slice").agg(F.max("db_timestamp").alias("latest")), "slice", "latest")
 
 
-@query(f"WITH {_DELETED} SELECT coalesce(max(seq_nr), 0) AS highest FROM d WHERE persistence_id = 'view|40'")
+@query(f"WITH {_DELETED} SELECT coalesce(max(seq_nr), 0) AS highest FROM d WHERE persistence_id = 'view|10'")
 def highest_seq_nr(spark, sf_dir):
-    return journal.highest_seq_nr(fx.journal_deleted(spark, sf_dir), "view|40")
+    return journal.highest_seq_nr(fx.journal_deleted(spark, sf_dir), "view|10")
 
 
 @query(f"WITH {_DELETED} SELECT coalesce(min(seq_nr), 0) AS lowest FROM d WHERE persistence_id = 'nobody|1'")
@@ -175,9 +175,42 @@ def current_db_timestamp(spark, sf_dir):
     return _shown(journal.current_db_timestamp(spark, NOW), "now")
 
 
-@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr FROM d WHERE persistence_id = '{PID}' AND seq_nr BETWEEN 2 AND 5 AND NOT deleted")
+def _replayed(rows, *args):
+    """What a replay gives as one table: its events, and a row without number that has the highest one."""
+    events, highest = journal.replay(rows, *args)
+    return events.select("persistence_id", "seq_nr", F.lit(None).cast("long").alias("highest")).unionByName(highest.select(F.lit(args[0]).alias("persistence_id"), F.lit(None).cast("long").alias("seq_nr"), "highest"))
+
+
+_ALL = 2**63 - 1
+_REPLAYED = "WITH {d} SELECT persistence_id, seq_nr, NULL::BIGINT AS highest FROM d WHERE persistence_id = '{p}' AND {w} UNION ALL SELECT '{p}', NULL, {h} FROM d WHERE persistence_id = '{p}'"
+
+
+@query(_REPLAYED.format(d=_DELETED, p=PID, w="seq_nr BETWEEN 2 AND 5 AND NOT deleted", h="coalesce(max(seq_nr), 0)"))
 def replay(spark, sf_dir):
-    return journal.replay(fx.journal_deleted(spark, sf_dir), PID, 2, 2**63 - 1, 4)[0].select("persistence_id", "seq_nr")
+    return _replayed(fx.journal_deleted(spark, sf_dir), PID, 2, _ALL, 4)
+
+
+@query(_REPLAYED.format(d=_DELETED, p="view|10", w="NOT deleted", h="coalesce(max(seq_nr), 0)"))
+def replay_all(spark, sf_dir):
+    """The last row is a tombstone: it isn't replayed, but its number counts."""
+    return _replayed(fx.journal_deleted(spark, sf_dir), "view|10", 0, _ALL, _ALL)
+
+
+@query(_REPLAYED.format(d=_DELETED, p="view|10", w="seq_nr = (SELECT max(seq_nr) FROM d WHERE persistence_id = 'view|10') AND NOT deleted", h="coalesce(max(seq_nr), 0)"))
+def replay_last_deleted(spark, sf_dir):
+    """Of the last event only, which is a tombstone here: nothing but its number."""
+    return _replayed(fx.journal_deleted(spark, sf_dir), "view|10", -1, _ALL, _ALL)
+
+
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, NULL::BIGINT AS highest FROM d WHERE persistence_id = '{PID}' AND seq_nr = 4 UNION ALL SELECT '{PID}', NULL, 4")
+def replay_last(spark, sf_dir):
+    return _replayed(fx.journal_deleted(spark, sf_dir), PID, -1, 4, _ALL)
+
+
+@query(f"WITH {_DELETED} SELECT CAST(NULL AS VARCHAR) AS persistence_id, NULL::BIGINT AS seq_nr, coalesce(max(seq_nr), 0) AS highest FROM d WHERE persistence_id = '{PID}' AND seq_nr >= 3")
+def replay_none(spark, sf_dir):
+    rows = _replayed(fx.journal_deleted(spark, sf_dir), PID, 3, 0, 10)
+    return rows.withColumn("persistence_id", F.lit(None).cast("string"))
 
 
 @query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE hi")
@@ -208,10 +241,15 @@ def persistence_ids_after(spark, sf_dir):
     return journal.persistence_ids(fx.journal_deleted(spark, sf_dir), after="click|3", limit=50)
 
 
-@query(f"SELECT DISTINCT {_EPID} AS persistence_id FROM events")
+@query(f"SELECT persistence_id, (row_number() OVER (ORDER BY persistence_id) - 1) // 400 AS page FROM (SELECT DISTINCT {_EPID} AS persistence_id FROM events)")
 def persistence_ids_paged(spark, sf_dir):
-    ids = list(journal.persistence_id_pages(fx.journal_events(spark, sf_dir), page=400))
-    return spark.createDataFrame([(i,) for i in ids], "persistence_id string")
+    return journal.numbered_pages(journal.persistence_ids(fx.journal_events(spark, sf_dir)), 400, scratch.folder(spark))
+
+
+@query(f"SELECT DISTINCT {_EPID} AS persistence_id FROM events WHERE {_EPID} > 'signup|2' ORDER BY 1 LIMIT 60")
+def persistence_ids_next_page(spark, sf_dir):
+    """One page as a reader asks for it, by the last id of the page before."""
+    return journal.persistence_id_page(fx.journal_events(spark, sf_dir), "signup|2", 60)
 
 
 @query(f"WITH {_DELETED} SELECT persistence_id, max(db_timestamp) AS latest FROM d WHERE NOT deleted AND {_IN} AND db_timestamp BETWEEN {_ts(FROM)} AND {_ts(TO)} GROUP BY persistence_id ORDER BY latest DESC, persistence_id LIMIT 40")
@@ -241,13 +279,13 @@ def event_buckets(spark, sf_dir):
     return buckets.count_buckets(rows, FROM, NOW)
 
 
-_END = int((FROM - dt.datetime(1970, 1, 1)).total_seconds()) + 5010
+_END = int((FROM - dt.datetime(1970, 1, 1)).total_seconds()) + 30010
 
 
-@query(f"WITH {_DELETED}, {_COUNTS.format(5010, 500)} SELECT bucket, count FROM b UNION ALL SELECT {_END}, 0 WHERE NOT EXISTS (SELECT 1 FROM b WHERE bucket = {_END})")
+@query(f"WITH {_DELETED}, {_COUNTS.format(30010, 3000)} SELECT bucket, count FROM b UNION ALL SELECT {_END}, 0 WHERE NOT EXISTS (SELECT 1 FROM b WHERE bucket = {_END})")
 def append_empty_bucket(spark, sf_dir):
     rows = journal.typed(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH).where(journal.live())
-    return buckets.with_empty_end(buckets.count_buckets(rows, FROM, NOW, 500), FROM, NOW, 500)
+    return buckets.with_empty_end(buckets.count_buckets(rows, FROM, NOW, 3000), FROM, NOW, 3000)
 
 
 @query(f"WITH {_STATE} SELECT {_BUCKET} AS bucket, count(*) AS count FROM st WHERE {_IN} GROUP BY 1")
@@ -256,9 +294,9 @@ def state_buckets(spark, sf_dir):
     return buckets.count_buckets(rows, buckets.EPOCH, dt.datetime(2030, 1, 1))
 
 
-@query(f"WITH {_DELETED}, {_COUNTS.format(100010, 10000)}, x AS (SELECT bucket, sum(count) OVER (ORDER BY bucket) AS cum FROM b WHERE bucket > {_END - 5010}) SELECT min(bucket) + 10 AS \"end\" FROM x WHERE cum >= 20")
+@query(f"WITH {_DELETED}, {_COUNTS.format(100010, 10000)}, x AS (SELECT bucket, sum(count) OVER (ORDER BY bucket) AS cum FROM b WHERE bucket > {_END - 30010}) SELECT min(bucket) + 10 AS \"end\" FROM x WHERE cum >= 3")
 def find_time_for_limit(spark, sf_dir):
-    return buckets.time_for_limit(event_buckets(spark, sf_dir), FROM, 20)
+    return buckets.time_for_limit(event_buckets(spark, sf_dir), FROM, 3)
 
 
 @query(f"WITH {_EVENTS} SELECT slice, count(*) AS events, count(DISTINCT persistence_id) AS ids FROM j GROUP BY slice")
@@ -349,9 +387,9 @@ def get_state(spark, sf_dir):
     return _shown(state.get_state(fx.states(spark, sf_dir), PID), "value", "revision")
 
 
-@query(f"WITH {_STATE} SELECT persistence_id, revision, db_timestamp, CASE WHEN gone THEN 'deleted' ELSE 'updated' END AS change_type, value FROM st WHERE {_IN} AND db_timestamp >= {_ts(FROM)} AND db_timestamp < {_ts(NOW)}")
+@query(f"WITH {_STATE} SELECT persistence_id, revision, db_timestamp, CASE WHEN gone THEN 'deleted' ELSE 'updated' END AS change_type, value FROM st WHERE {_IN} AND db_timestamp >= {_ts(FROM)} AND db_timestamp < {_ts(LATER)}")
 def current_changes_by_slices(spark, sf_dir):
-    rows = state.changes(fx.states(spark, sf_dir), TYPE, LOW, HIGH, TimestampOffset(FROM), NOW)
+    rows = state.changes(fx.states(spark, sf_dir), TYPE, LOW, HIGH, TimestampOffset(FROM), LATER)
     return _shown(rows, "persistence_id", "revision", "db_timestamp", "change_type", "value")
 
 
@@ -507,7 +545,6 @@ def live_changes_by_slices(spark, sf_dir):
     return live.drained(rows, scratch.folder(spark))
 
 
-@query(f"SELECT DISTINCT {_EPID} AS persistence_id FROM events")
+@query(f"SELECT persistence_id, (row_number() OVER (ORDER BY persistence_id) - 1) // 300 AS page FROM (SELECT DISTINCT {_EPID} AS persistence_id FROM events)")
 def state_ids_paged(spark, sf_dir):
-    ids = list(journal.persistence_id_pages(fx.states(spark, sf_dir), page=300))
-    return spark.createDataFrame([(i,) for i in ids], "persistence_id string")
+    return journal.numbered_pages(state.state_ids(fx.states(spark, sf_dir)), 300, scratch.folder(spark))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -114,7 +115,7 @@ def heartbeat(entity_type: str, min_slice: int, nth: int) -> str:
     while True:
         pid = f"{entity_type}|_hb-{nth}-{n}"
         h = 0
-        for unit in pid.encode("utf-16-le")[::2]:
+        for unit in array("H", pid.encode("utf-16")[2:]):
             h = (h * 31 + unit) % (1 << 32)
         if abs((h - (1 << 32) if h >= 1 << 31 else h)) % 1024 == min_slice:
             return pid

@@ -56,8 +56,9 @@ def test_slices(spark):
 
 def test_heartbeat_hashes_to_its_slice(spark):
     for low in (0, 256, 1000):
-        pid = live.heartbeat("type", low, 1)
-        assert spark.range(1).select(slices.slice_for(F.lit(pid))).first()[0] == low
+        for kind in ("type", "Zähler", "журнал", "計器𝒳"):
+            pid = live.heartbeat(kind, low, 1)
+            assert pid.startswith(kind + "|") and spark.range(1).select(slices.slice_for(F.lit(pid))).first()[0] == low
 
 
 def test_buckets(spark):
@@ -148,8 +149,12 @@ def test_reads(spark):
     assert [r.seq_nr for r in journal.load_last_event(df, "t|A").collect()] == [2]
     assert [r.seq_nr for r in journal.load_last_event(df, "t|A", include_deleted=True).collect()] == [3]
     assert journal.highest_seq_nr(df, "t|A").first()[0] == 3 and journal.highest_seq_nr(df, "t|X").first()[0] == 0
-    assert journal.replay(df, "t|A", -1, 10, 10)[0].first().seq_nr == 2 and journal.replay(df, "t|A", 1, 0, 10)[0].count() == 0
-    assert [r.seq_nr for r in journal.replay(df, "t|A", 1, 2**63 - 1, 1)[0].collect()] == [1] and journal.replay(df, "t|A", 1, 5, 0)[1] == 3
+    got = lambda *args: ([r.seq_nr for r in journal.replay(df, *args)[0].collect()], journal.replay(df, *args)[1].first()[0])
+    top = 2**63 - 1
+    assert got("t|A", -1, 10, 10) == ([], 3) and got("t|A", -1, 2, 10) == ([2], 2) and got("t|X", -1, top, top) == ([], 0)
+    assert got("t|A", 0, top, top) == ([1, 2], 3) and got("t|A", 4, top, top) == ([], 0) and got("t|A", 2, 2, top) == ([2], 3)
+    assert journal.replay(df, "t|A", 1, 0, 10)[0].count() == 0
+    assert [r.seq_nr for r in journal.replay(df, "t|A", 1, 2**63 - 1, 1)[0].collect()] == [1] and journal.replay(df, "t|A", 1, 5, 0)[1].first()[0] == 3
     now, cache = [0.0], None
     cache = journal.LatestTimestampCache(df, 1.0, lambda: now[0])
     first = cache.get("u", 0, 1023)
