@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled cutoffs.
 
-Base rules are fixed. Each further rule rejects texts whose measure exceeds a cutoff, and the cutoff of a stratum (the
-language) is the smallest on a fixed grid for which labelled good texts bound the false rejection rate: the exact
-(Clopper-Pearson) upper bound of the rate, at a level divided among all rules, cutoffs and strata (Bonferroni), is at
-most the rule's share of the allowed rate. So with probability 1 - DELTA no stratum loses more than RISK of its good
-texts to these rules. Where labels are too few for that, a rule stays off.
-
-One scan measures the texts; counts for the bounds are a grouped aggregation of (strata x rules x cutoffs) rows.
+Base rules are fixed. Four further rules reject texts whose measure exceeds a cutoff. The cutoffs of a stratum (the
+language) are REFERENCE values times one factor, and the factors of GRID are tried from the loosest down: a factor
+passes if the exact (Clopper-Pearson) upper bound of the share of labelled good texts that any of the four rejects
+is at most RISK, and the first that fails ends the search. Such fixed-sequence testing needs no division of the level
+by the number of factors; dividing DELTA by the number of strata (Bonferroni) makes the bounds hold for all of them at
+once. So with probability 1 - DELTA no stratum loses more than RISK of its good texts to these rules. A stratum with too
+few labels for any bound (88 good texts with four strata) keeps the rules off, as the guarantee asks.
+
+One scan measures the texts; counts for the bounds are a grouped aggregation, the search runs over its rows in tasks,
+and the factors come back to the texts by a join.
 """
 
 from __future__ import annotations
@@ -23,9 +26,13 @@ from annalist.llm.common import slices, stored
 
 RISK, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-STRATA = 200
 SYMBOLS = "#*$%&|<>"
-GRID = [round(0.02 * i, 2) for i in range(1, 51)]
+#: Usual cutoffs of each measure in published filters for web text. The calibrated factor scales them.
+REFERENCE = {"symbols": 0.1, "dup_lines": 0.3, "repeats": 0.2, "upper": 0.3}
+#: Factors from the loosest, at which next to nothing is rejected, to the strictest.
+GRID = [round(1.15**i, 4) for i in range(16, -21, -1)]
+#: So many strata at most are broadcast; with more, texts and factors are shuffled by stratum.
+BROADCAST_STRATA = 100_000
 _UPPER = bytes(range(65, 91))
 COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
 
@@ -81,46 +88,53 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return hi
 
 
-def cutoffs(counts: list[tuple[str, int, dict[str, list[int]]]], risk: float = RISK, delta: float = DELTA) -> dict[str, dict[str, float]]:
-    """From (stratum, good texts, per rule the good texts above each cutoff of GRID) the admissible cutoffs."""
-    names = list(rules())
-    level = delta / max(1, len(counts) * len(names) * len(GRID))
-    out: dict[str, dict[str, float]] = {}
-    for stratum, n, above in counts:
-        for rule in names:
-            good = None
-            for cut, k in sorted(zip(GRID, above[rule], strict=True), reverse=True):
-                # the bound is at least k / n, so a look at that spares most of the exact ones
-                if cut >= 1.0 or k > n * risk / len(names) or upper_bound(k, n, level) > risk / len(names):
-                    if cut < 1.0:
-                        break
-                    continue
-                good = cut
-            if good is not None:
-                out.setdefault(stratum, {})[rule] = good
-    return out
+def severity() -> Column:
+    """The greatest measure relative to its reference: a text is rejected at a factor that it exceeds."""
+    return F.greatest(*(value / REFERENCE[name] for name, value in rules().items()))
+
+
+def factor(n: int, above: list[int], level: float, risk: float = RISK) -> float | None:
+    """The strictest admissible factor; above has the good texts of n that each of GRID rejects."""
+    good = None
+    for f, k in zip(GRID, above, strict=True):
+        # the bound is at least k / n, so a look at that spares most of the exact ones
+        if k > n * risk or upper_bound(k, n, level) > risk:
+            break
+        good = f
+    return good
+
+
+def _searched(risk: float, level: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            stratum, n, above = (b.column(i).to_pylist() for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(stratum, pa.string()), pa.array([factor(m, x, level, risk) for m, x in zip(n, above, strict=True)], pa.float64())], ["stratum", "factor"])
+
+    return run
+
+
+def factors(holdout: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """(stratum, factor) from good texts (stratum, severity); null where no factor is admissible."""
+    above = F.array(*(F.sum((F.col("severity") > f).cast("long")) for f in GRID))
+    counts = stored(holdout.groupBy("stratum").agg(F.count("*").alias("n"), above.alias("above")), "counts")
+    return stored(counts.mapInArrow(_searched(risk, delta / max(1, counts.count())), "stratum string, factor double"), "factors")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", label_col: str = "quality", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed.
+    """Per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed, factor.
 
-    failed names the calibrated rules that the text fails. A null text is empty and fails the base; a null stratum is
-    the stratum ''. A label row without id or quality doesn't count, and of several for one id the lowest does. Beyond
-    the STRATA strata with most good texts the calibrated rules are off, as they are everywhere without labels.
-    Repeated rows are each answered; for the bounds an id counts once.
+    failed names the calibrated rules that the text fails, factor is that of its stratum (null: the rules are off). A
+    null text is empty and fails the base; a null stratum is the stratum ''. A measure that equals its cutoff passes.
+    A label row without id or quality doesn't count, and of several for one id the lowest does. Repeated rows are each
+    answered; for the bounds an id counts once in each of its strata, with its worst text.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     measured = stored(source.mapInArrow(_measured, "doc_id long, stratum string, " + ", ".join(f"{c} long" for c in COLUMNS)), "measures")
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).alias("q")).where("doc_id is not null and q is not null").groupBy("doc_id").agg(F.min("q").alias("q")).where("q = 1").select("doc_id")
-    holdout = measured.withColumns(rules()).select("doc_id", "stratum", *rules()).join(good, "doc_id").dropDuplicates(["doc_id"])
-    above = [F.sum((F.col(r) > cut).cast("long")).alias(f"{r}_{i}") for r in rules() for i, cut in enumerate(GRID)]
-    rows = holdout.groupBy("stratum").agg(F.count("*").alias("n"), *above).orderBy(F.desc("n"), "stratum").limit(STRATA).collect()
-    cuts = cutoffs([(r["stratum"], r["n"], {k: [r[f"{k}_{i}"] for i in range(len(GRID))] for k in rules()}) for r in rows], risk, delta)
+    holdout = measured.select("doc_id", "stratum", severity().alias("severity")).join(good, "doc_id").groupBy("doc_id", "stratum").agg(F.max("severity").alias("severity"))
+    cuts = factors(holdout, risk, delta).where("factor is not null")
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
 
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    fails = []
-    for name, value in rules().items():
-        own = [x for s, c in cuts.items() if name in c for x in (F.lit(s), F.lit(c[name]))]
-        fails.append(F.when(value > F.create_map(*own)[F.col("stratum")], F.lit(name)) if own else F.lit(None).cast("string"))
-    failed = F.array_compact(F.array(*fails))
-    return measured.select("doc_id", *COLUMNS[:5], base.alias("base_failed"), (~base & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("failed"))
+    fails = F.array_compact(F.array(*(F.when(value / REFERENCE[name] > F.col("factor"), F.lit(name)) for name, value in rules().items())))
+    return measured.join(cuts, "stratum", "left").select("doc_id", *COLUMNS[:5], base.alias("base_failed"), (~base & (F.size(fails) == 0)).alias("kept"), F.array_join(fails, ",").alias("failed"), "factor")

@@ -466,14 +466,77 @@ def test_rules_bound_is_exact():
     assert risk_rules.upper_bound(5, 5, 0.1) == 1.0
 
 
-def test_rules_cutoffs_bound_the_loss():
-    names, grid = list(risk_rules.rules()), risk_rules.GRID
-    clean = {r: [0] * len(grid) for r in names}
-    noisy = {r: [int(4000 * max(0, 0.3 - c)) for c in grid] for r in names}
-    got = risk_rules.cutoffs([("many", 5000, clean), ("few", 50, clean), ("noisy", 5000, noisy)])
-    assert all(got["many"][r] == grid[0] for r in names) and "few" not in got
-    for r in names:
-        assert noisy[r][grid.index(got["noisy"][r])] <= 5000 * risk_rules.RISK / len(names)
+def brute_factor(severities, strata, risk=risk_rules.RISK, delta=risk_rules.DELTA):
+    """The same search with the bound by bisection on exact sums."""
+    n, best = len(severities), None
+    for f in risk_rules.GRID:
+        k = sum(x > f for x in severities)
+        # the bound is at most risk if so few or fewer failures are improbable enough at risk itself
+        if k >= n or sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) > delta / strata:
+            break
+        best = f
+    return best
+
+
+def brute_severity(t):
+    w, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+    n, chars, symbols, dup, repeat, _ = brute_rules(t)
+    upper = sum("A" <= c <= "Z" for c in t)
+    share = lambda a, b: min(1.0, a / max(b, 1))
+    parts = {"symbols": share(symbols, chars), "dup_lines": share(dup, len(lines)), "repeats": share(repeat, n), "upper": share(upper, chars)}
+    return {k: v / risk_rules.REFERENCE[k] for k, v in parts.items()}
+
+
+def test_rules_fire_and_keep_the_promise(spark):
+    """Whole verdicts against brute force, and the loss among good texts that the rules never saw."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    labels = common.table(spark, "/root/testdata/sf0.01", "labels")
+    rows = {r.doc_id: (r.lang or "", r.text or "") for r in docs.collect()}
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    seen = {d for d, q in label.items() if q == 1 and d in rows and d % 2 == 0}
+    severity = {d: brute_severity(t) for d, (_, t) in rows.items()}
+    strata = {rows[d][0] for d in seen}
+    want = {s: brute_factor([max(severity[d].values()) for d in seen if rows[d][0] == s], len(strata)) for s in strata}
+    got = risk_rules.quality_rules(docs, labels.where("doc_id % 2 = 0")).collect()
+    for r in got:
+        lang = rows[r.doc_id][0]
+        f = want.get(lang)
+        assert r.factor == f
+        assert r.failed == ",".join(k for k, v in severity[r.doc_id].items() if f is not None and v > f)
+        assert r.kept == (not r.base_failed and not r.failed)
+    on = {s for s, f in want.items() if f is not None}
+    assert on and sum(bool(r.failed) for r in got) > 0
+    assert any(r.failed and not r.base_failed and label.get(r.doc_id) == 0 for r in got)
+    for s in on:
+        fresh = [r for r in got if rows[r.doc_id][0] == s and label.get(r.doc_id) == 1 and r.doc_id % 2]
+        assert sum(bool(r.failed) for r in fresh) <= 2 * risk_rules.RISK * len(fresh)
+
+
+def test_rules_hold_their_risk_over_many_draws(spark):
+    """Of many strata drawn at random, next to none loses more than RISK of its whole population."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"s{s}", rng.expovariate(1.0 / (0.2 + 0.2 * (s % 3)))) for s in range(300) for _ in range(400)]
+    got = {r.stratum: r.factor for r in risk_rules.factors(spark.createDataFrame(rows, "stratum string, severity double")).collect()}
+    assert all(f is not None for f in got.values())
+    assert not [s for s, f in got.items() if math.exp(-f / (0.2 + 0.2 * (int(s[1:]) % 3))) > risk_rules.RISK]
+
+
+def test_rules_odd(spark, labels):
+    """Too few labels, no labels, ties at a cutoff, one id in two strata and twice in one."""
+    few = spark.createDataFrame([(i, "en", "word " * 60) for i in range(50)], "doc_id long, lang string, text string")
+    good = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    assert {r.factor for r in risk_rules.quality_rules(few, good).collect()} == {None}
+    assert {r.factor for r in risk_rules.quality_rules(few, labels.limit(0)).collect()} == {None}
+    n = 400
+    assert risk_rules.factor(n, [0] * len(risk_rules.GRID), 0.0125) == risk_rules.GRID[-1]
+    assert risk_rules.factor(n, [n] * len(risk_rules.GRID), 0.0125) is None
+    prose = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(200)]
+    rows = [(i, "en", t) for i, t in enumerate(prose)] + [(0, "en", prose[0]), (0, "de", "# " * 60), (500, "en", prose[1].replace("w", "#"))]
+    got = risk_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, lang string, text string"), spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")).collect()
+    assert len(got) == len(rows) and all(r.failed == "" and r.factor == risk_rules.GRID[-1] for r in got if r.doc_id not in (0, 500))
+    assert [r.failed for r in got if r.doc_id == 500] == ["symbols"]
 
 
 # --- 10 ---------------------------------------------------------------------------------------------------------------
