@@ -553,6 +553,74 @@ def test_licenses(spark, docs, texts):
     assert [got[i].families for i in (10_000, 10_001, 10_002, 10_003, None)] == ["MIT", "", "Apache-2.0,GPL-3.0", "", "MIT"]
 
 
+#: Notices in other words or of other versions than the templates', and notices of licences that no family has.
+VARIANTS = {
+    "Released under the GPL v2.": "GPL-2.0", "Released under the GPL v3.": "GPL-3.0", "Licensed under the GNU General Public License v2.0": "GPL-2.0", "Licensed under Apache 2.0": "Apache-2.0",
+    "Licensed under the Mozilla Public License 2.0": "MPL-2.0", "This work is licensed under CC BY 4.0": "CC-BY",
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS': "MIT",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.": "",
+    "Distributed under the Boost Software License, Version 1.0.": "", "Licensed under the zlib license.": "", "ISC License": "", "She works at MIT and holds a license.": "",
+}
+
+
+def brute_grams(p):
+    w = re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", p.lower())
+    return {*w, *map(" ".join, zip(w, w[1:], strict=False))}
+
+
+def brute_license(p, model, least):
+    """Family of a paragraph by plain sums over all weights, covers of all notices and versions."""
+    families = list(license_scan.NOTICES)
+    g = brute_grams(p)
+    if not g & set(model.weights):
+        return 0.0, ""
+    z = [b + sum(model.weights[x][i] for x in g if x in model.weights) for i, b in enumerate(model.bias)]
+    e = [math.exp(x - max(z)) for x in z]
+    known = 1 - e[-1] / sum(e)
+    having = Counter(x for ps in license_scan.NOTICES.values() for x in {y for q in ps for y in brute_grams(q)})
+    most = math.log(len(families) + 1)
+    weight = lambda x: most - math.log(having[x]) if x in having else most
+    named = lambda q: {m[1] for w in re.sub(r"[^\w.]+", " ", q.lower()).split() if (m := re.fullmatch(license_scan.VERSION.strip("^$"), w.rstrip("."))) and len(m[1]) == 1}
+    best = []
+    for i, f in enumerate(families):
+        allowed = {v for q in license_scan.NOTICES[f] for v in named(q)}
+        cover = max(sum(map(weight, g & h)) / min(sum(map(weight, h)), sum(map(weight, g))) for h in map(brute_grams, license_scan.NOTICES[f]))
+        if cover >= license_scan.COVER and (not allowed or named(p) <= allowed):
+            best.append((-e[i], f))
+    return known, (min(best)[1] if best and known > least else "")
+
+
+def test_licenses_match_brute_force(spark, texts):
+    """Every paragraph of the table, scored without any search for words first, and the calibration's promise."""
+    df = spark.createDataFrame([*texts.items(), *((10_000 + i, t) for i, t in enumerate(VARIANTS))], "doc_id long, text string")
+    s = license_scan.scan(df, "doc_id", "text")
+    kinds = {}
+    every = {p for t in [*texts.values(), *VARIANTS] for p in t.split("\n")}
+    for p in every:
+        known, kinds[p] = brute_license(p, s["model"], s["least"])
+        assert any(w in p.lower() for w in s["needed"]) or known < license_scan.LEAST, p
+    for r in license_scan.licenses(df).collect():
+        t = texts.get(r.doc_id) or dict(enumerate(VARIANTS)).get(r.doc_id - 10_000, "")
+        found = [kinds[p] for p in t.split("\n") if kinds[p]]
+        assert (r.n_notices, r.families) == (len(found), ",".join(sorted(set(found)))), t[:80]
+    for t, family in VARIANTS.items():
+        assert kinds[t] == family, t
+    rows = s["calibration"].collect()
+    assert len(rows) > 16 and sum(r.known > s["least"] for r in rows) <= license_scan.FALSE_SHARE * len(rows) + 1e-9
+
+
+def test_licenses_ties(spark):
+    """Of two families with one probability the first by name; of versions that no family has, none."""
+    rows = spark.createDataFrame([("a", ["under"], [], 0.9, [1 / 13] * 13)], "pid string, g array<string>, vs array<string>, known double, ps array<double>")
+    sentence = license_scan.NOTICES["GPL-2.0"][2]
+    own = rows.withColumn("g", license_scan.grams(F.lit(sentence)))
+    paragraphs, guesses = own.select("pid", "g", license_scan.versions(F.lit(sentence)).alias("vs")), own.select("pid", "known", "ps")
+    assert [r.family for r in license_scan.confirmed(spark, paragraphs, guesses).collect()] == ["GPL-2.0"]
+    foreign = paragraphs.withColumn("vs", F.array(F.lit("7")))
+    assert license_scan.confirmed(spark, foreign, guesses).count() == 0
+
+
 def test_licenses_odd(odd, none):
     assert license_scan.licenses(odd).count() == odd.count()
     assert license_scan.licenses(none).count() == 0
