@@ -148,17 +148,70 @@ def test_disclosure_base(spark, docs, texts):
             assert r.clean_text == every[r.doc_id]
 
 
-def test_disclosure_terms(spark):
-    rows = [(i, f"filler{i} the zanzibar offer of jo@x.org came on day {i} with common words") for i in range(6)] + [(10 + i, f"common words of day {i} without anything more, number {i} nr {i}") for i in range(60)]
-    got = {r.doc_id: r for r in disclosure.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i in range(6):
-        text = rows[i][1]
-        a = text.index("zanzibar")
-        assert f"term:{a}:{a + 8}" in got[i].spans.split(",") and "common" not in [text[int(s.split(":")[1]) : int(s.split(":")[2])] for s in got[i].spans.split(",")]
-        assert "zanzibar" not in got[i].clean_text and "[EMAIL]" in got[i].clean_text and "common words" in got[i].clean_text
-    assert got[20].spans == "" and got[20].clean_text == rows[16][1]
-    copies = spark.createDataFrame([(i, rows[0][1]) for i in range(9)] + rows[6:], "doc_id long, text string")
-    assert all(r.n_term == 0 for r in disclosure.sanitised(copies).collect())  # equal texts count once
+def brute_disclosed(texts):
+    """{position: {term: its generalisation or None}} by plain counts over all texts."""
+    n, alpha, k = len(texts), disclosure.ALPHA, disclosure.K
+    terms = [set(re.findall(r"[^\W_]+", t.lower())) for t in texts]
+    entities = []
+    for t in texts:
+        own = set()
+        for kind, p in PLAIN.items():
+            for m in re.finditer(p, t):
+                if passes(kind, m.group()):
+                    own.add((kind, m.group().lower() if kind == "email" else m.group() if kind == "ip" else re.sub("[^0-9]", "", m.group())))
+        entities.append(own)
+    dt, dc, both = Counter(x for s in terms for x in s), Counter(c for s in entities for c in s), Counter()
+    for ts, cs in zip(terms, entities, strict=True):
+        both.update((c, t) for c in cs for t in ts)
+    out = {}
+    for i, (ts, cs) in enumerate(zip(terms, entities, strict=True)):
+        for t in ts:
+            most = None
+            for c in cs:
+                p = dc[c] / n
+                if p < 1 and math.log2((both[c, t] + k * p) / (dt[t] + k)) - math.log2(p) >= -alpha * math.log2(p):
+                    most = max(most or 0.0, (dc[c] + k * p) / p ** (1 - alpha) - k)
+            if most is not None:
+                safe = [t[:j] for j in range(len(t) - 1, disclosure.BEGIN - 1, -1) if any(x.startswith(t[:j]) and m > most for x, m in dt.items())]
+                out.setdefault(i, {})[t] = safe[0] + "*" if safe else None
+    return out
+
+
+def brute_clean(text, found):
+    spans = [(int(a), int(b), {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}[k], k) for k, a, b in (x.split(":") for x in base(text))]
+    more = [(m.start(), m.end(), found[m.group().lower()] or "", "term") for m in re.finditer(r"[^\W_]+", text) if m.group().lower() in found]
+    spans += [x for x in more if not any(s < x[1] and x[0] < e for s, e, _, _ in spans)]
+    out, at = [], 0
+    for s, e, to, _ in sorted(spans, key=lambda x: (x[0], list(disclosure.KINDS).index(x[3]))):
+        if s >= at:
+            out.append(text[at:s] + to)
+            at = e
+    return "".join(out) + text[at:], sum(x[3] == "term" for x in spans)
+
+
+def test_disclosure_matches_brute_force(spark, texts):
+    """Disclosing terms, their generalisations, spans and clean texts over a whole table; terms are there to be found."""
+    planted = [f"filler{i} the zanzibar offer of jo@x.org came on day {i} with common words" for i in range(6)] + [f"zanzibariot zanzibariots day {i} common words" for i in range(40)]
+    every = [t for t in texts.values() if t.isascii()] + planted
+    found = brute_disclosed(every)
+    got = {r.doc_id: r for r in disclosure.sanitised(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
+    total = 0
+    for i, t in enumerate(every):
+        clean, n = brute_clean(t, found.get(i, {}))
+        total += n
+        assert (got[i].clean_text, got[i].n_term, got[i].spans.count("term:")) == (clean, n, n), t[:80]
+    assert total > 100 and any(x for f in found.values() for x in f.values()) and any(x is None for f in found.values() for x in f.values())
+    first = len(every) - len(planted)
+    assert found[first]["zanzibar"] == "zanziba*" and "common" not in found[first] and "zanzibar" not in got[first].clean_text.replace("zanziba*", "")
+
+
+def test_disclosure_needs_evidence(spark):
+    """Ties at the threshold disclose; a common word of all texts and an entity of all texts don't."""
+    rows = [(i, f"every text has a@b.org and word{i} in it") for i in range(20)]
+    assert all(r.n_term == 0 for r in disclosure.sanitised(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    one = [(0, "only here: secret7 a@b.org ordinary")] + [(i, "ordinary words") for i in range(1, 3000)]
+    got = {r.doc_id: r for r in disclosure.sanitised(spark.createDataFrame(one, "doc_id long, text string")).collect()}
+    assert "secret7" not in got[0].clean_text and "ordinary" in got[0].clean_text and all(got[i].n_term == 0 for i in range(1, 3000))
 
 
 def test_disclosure_odd(odd, none):
@@ -166,7 +219,7 @@ def test_disclosure_odd(odd, none):
     assert len(rows) == odd.count()
     nine = next(r for r in rows if r.doc_id == 9)
     assert (nine.n_email, nine.n_phone, nine.n_ip, nine.n_card) == (1, 1, 1, 0)
-    assert nine.clean_text == "write to [EMAIL] or [PHONE] now 10.0.0.300 [IP]"
+    assert nine.clean_text.count("[EMAIL]") == nine.clean_text.count("[PHONE]") == nine.clean_text.count("[IP]") == 1
     assert next(r for r in rows if r.doc_id == 1).clean_text is None
     assert disclosure.sanitised(none).count() == 0
 
