@@ -76,5 +76,6 @@ f AS (SELECT *, octet_length(encode(payload)) AS n, CASE WHEN octet_length(encod
 g AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(rest, '/.*$', ''), '^.*@', ''), ':.*$', '')), '^www\.', '') AS host, lower(regexp_replace(rest, '^[^/]*', '')) AS path FROM f)
 SELECT page_id, n AS payload_bytes, sha1(payload) AS payload_digest, CASE WHEN keeper <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper <> page_id THEN keeper END AS refers_to,
   CASE WHEN coalesce(uri, '') = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path END AS urlkey,
+  row_number() OVER (ORDER BY CASE WHEN coalesce(uri, '') = '' THEN '' ELSE array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path END, TIMESTAMP '2020-01-01 00:00:00' + to_seconds(page_id % 1000000000), page_id) - 1 AS rank,
   strftime(TIMESTAMP '2020-01-01 00:00:00' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM g""",
 }

@@ -2,10 +2,15 @@
 
 Writing: Spark's text writer puts down one record a row, with the record end as line end, so archives go wherever
 Spark can write. Of equal payloads of at least MIN_BYTES the one with the largest id is stored, others are revisits
-that name it. Reading: files are bounded by FILE_RECORDS and parsed by Content-Length. Each archive's captures, sorted
-by (URL key, time, id), are one run. The runs are dealt out by ranges of that order, sampled by Spark, and each range
-merges its parts of the runs with a loser tree, so the parts together are one globally ordered capture history. A URL
-with a third of all captures spans several ranges, since time and id are part of the order.
+that name it. Reading: files are bounded by FILE_RECORDS and parsed by Content-Length.
+
+Merging: each archive's captures, sorted by (URL key, time, id), are one run, stored in blocks of BLOCK rows with each
+row knowing the last key of the block before its own. The runs are dealt out by ranges of the order, sampled by Spark,
+at most about RANGE_ROWS rows each, so a URL with a third of all captures spans several ranges. Within a range the
+blocks come sorted by that last key before them. That is the order in which a merge runs out of blocks, so a loser tree
+over all runs of the range takes its next block from the stream whenever a run's block is used up: a task holds one
+block of each run and never its range. The ranges together are one globally ordered capture history; a capture's rank
+is its place in its range and the rows of the ranges before.
 """
 
 from __future__ import annotations
@@ -17,18 +22,22 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annalist.llm.common import stored, work_dir
 
 MIN_BYTES = 1000
 FILE_RECORDS = 1500
+#: Rows of a block, and about so many rows to a range at most.
+BLOCK, RANGE_ROWS = 64, 500_000
 #: The capture time of a page without one: this moment and its id in seconds.
 EPOCH = "2020-01-01 00:00:00"
 END = "\r\n\r\n"
 RUN = "run string, urlkey string, captured string, page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, position long"
 ORDER = ("urlkey", "captured", "page_id")
+#: The last key of the block before, empty for a run's first block.
+BEFORE = "before_urlkey string, before_captured string, before_none boolean, before_id long, before_run string, before_position long"
 
 
 def _line(name: str, value: Column) -> Column:
@@ -111,22 +120,19 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 uri = h.get("warc-target-uri")
                 rows.append((run, url_key(uri), h["warc-date"], _number(h["warc-record-id"]), uri, length, digest, h["warc-type"], _number(h.get("warc-refers-to")), at))
             rows.sort(key=_order)
-            yield _batch(rows)
+            yield _batch(rows, [_order(rows[i // BLOCK * BLOCK - 1]) if i >= BLOCK else (None,) * 6 for i in range(len(rows))])
 
 
 def _order(row: tuple) -> tuple:
     return row[1], row[2], row[3] is None, row[3] or 0, row[0], row[9]
 
 
-def _batch(rows: list[tuple], at: int | None = None) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-    names = [x.split()[0] for x in RUN.split(", ")]
-    columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-    if at is not None:
-        part = TaskContext.get().partitionId()
-        columns += [pa.array([part] * len(rows), pa.int32()), pa.array(range(at, at + len(rows)), pa.int64())]
-        names += ["part", "place"]
-    return pa.RecordBatch.from_arrays(columns, names)
+def _batch(rows: list[tuple], more: list[tuple], also: str = BEFORE) -> pa.RecordBatch:
+    """rows with the columns of more behind them."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    spec = [x.split() for x in f"{RUN}, {also}".split(", ")]
+    wide = len(RUN.split(", "))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows] if i < wide else [x[i - wide] for x in more], kinds[k]) for i, (_, k) in enumerate(spec)], [n for n, _ in spec])
 
 
 class LoserTree:
@@ -165,44 +171,80 @@ class LoserTree:
             self._play(w)
 
 
+class Blocks:
+    """Runs of a stream of rows whose blocks come in the order in which a merge needs them."""
+
+    def __init__(self, rows: Iterator[tuple]):
+        self.rows, self.ahead, self.held, self.most = rows, next(rows, None), 0, 0
+
+    def _block(self) -> tuple[str, list[tuple]]:
+        """The next block of the stream: rows of one run with the same key before them."""
+        wide = len(RUN.split(", "))
+        run, before, block = self.ahead[0], self.ahead[wide:], []
+        while self.ahead is not None and self.ahead[0] == run and self.ahead[wide:] == before:
+            block.append(self.ahead[:wide])
+            self.ahead = next(self.rows, None)
+        self.held += len(block)
+        self.most = max(self.most, self.held)
+        return run, block
+
+    def _run(self, run: str, block: list[tuple]) -> Iterator[tuple]:
+        while block:
+            yield from block
+            self.held -= len(block)
+            # the run's next block, if it has one here, is the next of the stream: all others run out later
+            block = self._block()[1] if self.ahead is not None and self.ahead[0] == run else []
+
+    def runs(self) -> list[Iterator[tuple]]:
+        """One iterator a run. First blocks have keys of other ranges, or none, before them, so they come first."""
+        first: dict[str, list[tuple]] = {}
+        while self.ahead is not None and self.ahead[0] not in first:
+            run, block = self._block()
+            first[run] = block
+        return [self._run(run, block) for run, block in first.items()]
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the parts of the runs that fell into this range."""
-    runs: dict[str, list[tuple]] = {}
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs.setdefault(row[0], []).append(row)
-    for rows in runs.values():
-        rows.sort(key=_order)  # a shuffle may deliver the blocks of a run in any order; sorted blocks cost little
+    """Merges the runs of one range."""
+    part = TaskContext.get().partitionId()
+    stream = (row for b in batches for at in range(0, b.num_rows, 1000) for row in zip(*(c.to_pylist() for c in b.slice(at, 1000).columns), strict=True))
     rows, at = [], 0
-    for row in LoserTree([iter(r) for _, r in sorted(runs.items())], _order):
+    for row in LoserTree(Blocks(stream).runs(), _order):
         rows.append(row)
         if len(rows) == 10_000:
-            yield _batch(rows, at)
+            yield _batch(rows, [(part, at + i) for i in range(len(rows))], "part int, place long")
             at, rows = at + len(rows), []
-    yield _batch(rows, at)
+    yield _batch(rows, [(part, at + i) for i in range(len(rows))], "part int, place long")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The captures of all archives in path, sorted within each archive, with payloads checked against digests."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(_captures, RUN)
+    """The captures of all archives in path, one sorted run an archive, with payloads checked against digests."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content").mapInArrow(_captures, f"{RUN}, {BEFORE}")
 
 
-def capture_history(spark: SparkSession, path: str) -> DataFrame:
-    """All captures in global order of (URL key, time, id): by part, then place within it."""
+def capture_history(spark: SparkSession, path: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """All captures in global order of (URL key, time, id): rank, from 0, and part and place within it."""
     runs = stored(read_archives(spark, path), "runs")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return runs.repartitionByRange(n, *ORDER).mapInArrow(_merged, RUN + ", part int, place long")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-runs.count() // range_rows))
+    before = [F.col(x.split()[0]).asc_nulls_first() for x in BEFORE.split(", ")]
+    dealt = runs.repartitionByRange(ranges, "urlkey", "captured", F.col("page_id").asc_nulls_last()).sortWithinPartitions(*before, "run", "urlkey", "captured", F.col("page_id").asc_nulls_last(), "position")
+    merged = stored(dealt.mapInArrow(_merged, f"{RUN}, part int, place long"), "merged")
+    sizes = merged.groupBy("part").agg(F.count("*").alias("n"))
+    offset = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    return merged.join(F.broadcast(sizes.select("part", offset.alias("offset"))), "part").withColumn("rank", F.col("offset") + F.col("place")).drop("offset")
 
 
-def archived(pages: DataFrame, **columns) -> DataFrame:
+def archived(pages: DataFrame, range_rows: int = RANGE_ROWS, **columns) -> DataFrame:
     """Writes the pages as archives into the shared folder and returns the capture history read back from them.
 
-    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, captured, part, place.
+    Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, urlkey, captured, rank, part, place. rank
+    counts from 0 in the order of URL key, time and id, nulls last; captures equal in all three come by archive.
     A null payload is empty. A page without id is stored as urn:page:none, comes back with a null id and never is the
     one that others revisit, unless no equal page has an id, when all are responses. A null URL has the empty key.
-    Repeated rows with one id are all responses where theirs is the largest id. White space in URLs is escaped.
+    Repeated rows with one id are all responses where theirs is the largest id. White space in URLs is escaped. Other
+    columns of pages, whatever their names, are left out. An empty table gives no rows.
     """
     spark = pages.sparkSession
     path = f"{work_dir(spark)}/archives"
     write_archives(pages, path, **columns)
-    return capture_history(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "part", "place")
+    return capture_history(spark, path, range_rows).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "rank", "part", "place")

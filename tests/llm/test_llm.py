@@ -410,6 +410,44 @@ def test_warc_round_trip(spark, sf_dir):
     assert warc.archived(every.limit(0)).count() == 0
 
 
+def test_warc_clashing_columns_and_repeated_rows(spark, sf_dir):
+    """Extra columns named like the operator's own, and rows that share an id, with equal and other payloads."""
+    pages = common.table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    big, other = "same " * 300, "other " * 300
+    rows = spark.createDataFrame([(7001, "http://b.example/", big), (7001, "http://b.example/", big), (7000, "http://b.example/", big), (7001, "http://b.example/", other)], pages.schema)
+    clash = ("rank", "part", "place", "uri", "payload", "key", "k", "keeper", "bytes", "sha1", "value", "run", "captured", "n", "offset")
+    got = warc.archived(pages.unionByName(rows).withColumns({c: F.lit(c) for c in clash})).where("page_id >= 7000").collect()
+    assert sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in got if r.page_id == 7000) == [(7000, 1500, "revisit", 7001)]
+    assert sorted((r.payload_bytes, r.record_type) for r in got if r.page_id == 7001) == [(1500, "response"), (1500, "response"), (1800, "response")]
+
+
+def test_merge_holds_one_block_a_run(spark, tmp_path, monkeypatch):
+    """Many archives and ranges: the rank is the global order, and a merge never holds more than a block of each run."""
+    import random
+
+    rng = random.Random(8)
+    monkeypatch.setattr(warc, "FILE_RECORDS", 90)
+    pages = [(i, f"http://h{rng.randrange(40)}.example/p{rng.randrange(30)}" if i % 3 else "http://hot.example/", f"page {i}") for i in range(3000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    got = sorted(warc.archived(df, range_rows=200).collect(), key=lambda r: r.rank)
+    assert [r.rank for r in got] == list(range(3000)) and len({r.part for r in got}) >= 12
+    assert [(r.urlkey, r.captured, r.page_id) for r in got] == sorted((warc.url_key(u), f"2020-01-01T{i // 3600:02d}:{i // 60 % 60:02d}:{i % 60:02d}Z", i) for i, u, _ in pages)
+
+    runs = {f"r{k}": sorted((f"r{k}", f"u{rng.randrange(500):03d}", "t", rng.randrange(10**6), None, 0, "", "", None, i) for i in range(700)) for k in range(7)}
+    stream = []
+    for name, rows in runs.items():
+        rows = sorted(rows, key=warc._order)
+        cut = rows[rng.randrange(100) :]  # a range begins in the middle of a block
+        stream += [(warc._order(rows[rows.index(r) // warc.BLOCK * warc.BLOCK - 1]) if rows.index(r) >= warc.BLOCK else (), r) for r in cut]
+        runs[name] = cut
+    low = max(min(map(warc._order, c)) for c in runs.values())
+    stream = [(b, r) for b, r in stream if warc._order(r) >= low]
+    stream.sort(key=lambda x: (x[0] and (1, *x[0]) or (0,), x[1][0], warc._order(x[1])))
+    blocks = warc.Blocks(iter([(*r, *(b or (None,) * 6)) for b, r in stream]))
+    merged = list(warc.LoserTree(blocks.runs(), warc._order))
+    assert merged == sorted((r for _, r in stream), key=warc._order) and blocks.most <= len(runs) * warc.BLOCK < len(merged) / 5
+
+
 def test_loser_tree():
     import random
 
