@@ -23,6 +23,8 @@ def work_dir(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which every executor and the driver share."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "/tmp/checkpoints/annalist"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/annalist-{uuid.uuid4().hex}"
@@ -72,23 +74,21 @@ def added(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """Connected components of links(a, b) as (id, comp), comp the smallest id of each.
 
     Alternating large-star and small-star steps; a step is a grouped minimum and a join, so no component is
-    gathered anywhere. Each round is written to the shared folder. Ends when the edges no longer change.
+    gathered anywhere. Each round is written to the shared folder. Goes on until the edges no longer change, which is
+    when all are stars; every round before brings some id nearer to its smallest.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
+    before, now = None, ()
+    while before != now:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         edges = stored(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        before, now = now, tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     return edges.groupBy("a").agg(F.min("b").alias("comp")).select(F.col("a").alias("id"), "comp").unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())

@@ -26,8 +26,6 @@ from annalist.llm.risk_rules import measures
 #: The regression is fitted on about so many labelled rows at most.
 TRAIN_ROWS = 20_000
 KEEP = 0.5
-#: No group moves the log-odds by more than this, so a good text stands on its own on a poor site.
-SITE_LOGIT = 1.0
 FEATURES = ["log_words", "mean_chars", "symbols", "dup_lines", "repeats", "upper", "bangs", "distinct", "top_word", "digits", "ends", "lines"]
 _DIGITS = b"0123456789"
 
@@ -115,6 +113,5 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     sites = site_posteriors(scored.select("host", "path", F.col("doc_p").alias("p")))
     sites = sites.select(F.col("host").alias("h"), F.col("path").alias("q"), "host_p", "path_p", "global_p")
     joined = scored.join(sites, scored["host"].eqNullSafe(sites["h"]) & scored["path"].eqNullSafe(sites["q"]), "left")
-    shift = F.least(F.greatest(_logit(F.col("path_p")) - _logit(F.col("global_p")), F.lit(-SITE_LOGIT)), F.lit(SITE_LOGIT))
-    p = 1 / (1 + F.exp(-(_logit(F.col("doc_p")) + shift)))
+    p = 1 / (1 + F.exp(-(_logit(F.col("doc_p")) + _logit(F.col("path_p")) - _logit(F.col("global_p")))))
     return joined.select("doc_id", "doc_p", "host_p", "path_p", p.alias("p"), (p >= keep).alias("kept"))

@@ -1,8 +1,11 @@
 """Mixing to target weights by iterative proportional fitting (raking).
 
 Texts are counted into cells of (source, language, topic) by one grouped aggregation; all fitting runs on the cells.
-A round scales the cells' token weights to the source, the language and the topic marginals in turn, each by a window
-sum over the cells of a margin. Sampling probabilities follow from the fitted weights: a cell's share of the wanted
+A round scales the cells' token weights to the source, the language and the topic marginals in turn, each by a sum
+over the cells of a value: a window while the cells are few enough for one task, else a grouped sum, with a partial sum
+in each task, that is joined to the cells. Rounds go on until all margins are met or no round
+changes a weight any more: where cells that don't exist make the targets impossible, the result says by how much it is
+off. Sampling probabilities follow from the fitted weights: a cell's share of the wanted
 tokens over its tokens, at most one, with the rest of a full cell's share given to the others. A text stays if a hash
 of its id falls under its cell's probability, so a rerun or a lost executor changes nothing.
 """
@@ -18,7 +21,11 @@ MARGINS = ("source", "lang", "topic")
 #: Default targets: the token share of a margin's value to this power. Below one, rare values gain.
 POWER = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 SHARE = 0.5
-TOLERANCE, ROUNDS, CHUNK = 1e-4, 24, 4
+#: Rounds between two looks at the margins; margins are met if off by less than TOLERANCE; the fit stands still if none
+#: of CHUNK rounds changes a margin by more than STILL.
+TOLERANCE, STILL, CHUNK = 1e-4, 1e-7, 4
+#: So many cells at most are summed by window, all cells of one value in a task; more by grouped sums and joins.
+WINDOW_CELLS = 1_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -47,26 +54,34 @@ def targets(cells: DataFrame, margin: str, wanted: dict | None) -> DataFrame:
     return sums.select("value", (F.col("raw") / total).alias("share"))
 
 
-def raked(cells: DataFrame, wanted: dict[str, dict] | None = None, margins: tuple[str, ...] = MARGINS, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def _scaled(cells: DataFrame, margin: str, few: bool) -> DataFrame:
+    """cells with w scaled such that the margin is met."""
+    new = F.when(F.col("_own") > 0, F.col("w") * F.col(f"to_{margin}") / F.col("_own")).otherwise(0.0)
+    if few:
+        return cells.withColumn("_own", F.sum("w").over(Window.partitionBy(margin))).withColumn("w", new).drop("_own")
+    own = cells.groupBy(F.col(margin).alias("_v")).agg(F.sum("w").alias("_own"))
+    # written at once: both sides read the cells, so unwritten steps would double the plan each time
+    return stored(cells.join(own, cells[margin].eqNullSafe(F.col("_v"))).withColumn("w", new).drop("_v", "_own"), "cells")
+
+
+def raked(cells: DataFrame, wanted: dict[str, dict] | None = None, margins: tuple[str, ...] = MARGINS, tolerance: float = TOLERANCE) -> DataFrame:
     """cells(margins..., tokens) with the fitted weight w, which sums to one, and error, by which margins are off."""
+    few = cells.count() <= WINDOW_CELLS
     for m in margins:
         t = targets(cells, m, (wanted or {}).get(m))
         cells = stored(cells.join(t.select(F.col("value").alias("_v"), F.col("share").alias(f"to_{m}")), cells[m].eqNullSafe(F.col("_v")), "left").drop("_v"), "cells")
     cells = cells.withColumn("w", F.col("tokens").cast("double"))
-    for _ in range(max(1, rounds // CHUNK)):
+    off = [float("inf")] * len(margins)
+    while True:
         for _ in range(CHUNK):
             for m in margins:
-                own = F.sum("w").over(Window.partitionBy(m))
-                cells = cells.withColumn("w", F.when(own > 0, F.col("w") * F.col(f"to_{m}") / own).otherwise(0.0))
+                cells = _scaled(cells, m, few)
         cells = stored(cells, "cells")
-        off = 0.0
-        for m in margins:
-            x = cells.groupBy(m).agg(F.sum("w").alias("s"), F.max(f"to_{m}").alias("to")).agg(F.max(F.abs(F.col("s") - F.col("to")))).first()[0]
-            off = max(off, x or 0.0)
-        if off < tolerance:
+        before, off = off, [cells.groupBy(m).agg(F.sum("w").alias("s"), F.max(f"to_{m}").alias("to")).agg(F.max(F.abs(F.col("s") - F.col("to")))).first()[0] or 0.0 for m in margins]
+        if max(off) < tolerance or max(abs(a - b) for a, b in zip(before, off, strict=True)) <= STILL:
             break
     total = cells.agg(F.sum("w")).first()[0] or 1.0
-    return cells.withColumn("w", F.col("w") / total).withColumn("error", F.lit(float(off)))
+    return cells.withColumn("w", F.col("w") / total).withColumn("error", F.lit(float(max(off))))
 
 
 def calibrated(cells: DataFrame, share: float = SHARE) -> DataFrame:
@@ -88,15 +103,18 @@ def calibrated(cells: DataFrame, share: float = SHARE) -> DataFrame:
 
 def measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, topic: Column | None) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), n_words(text).alias("n_tokens"), (form(text, n_words(text)) if topic is None else topic.cast("string")).alias("topic"))
-    return stored(base, "counted")
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(lang_col).cast("string").alias("lang"), text.alias("text"), *([] if topic is None else [topic.cast("string").alias("topic")]))
+    # counted once: the generated row keeps the optimizer from writing the expression out at both of its uses
+    counted = base.withColumn("n_tokens", F.explode(F.array(n_words(F.col("text")))))
+    return stored((counted.withColumn("topic", form(F.col("text"), F.col("n_tokens"))) if topic is None else counted).drop("text"), "counted")
 
 
 def mixture(docs: DataFrame, wanted: dict[str, dict] | None = None, share: float = SHARE, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None) -> DataFrame:
-    """Per input row: doc_id, source, lang, topic, n_tokens, weight, p, kept.
+    """Per input row: doc_id, source, lang, topic, n_tokens, weight, p, kept, error.
 
     wanted gives target shares by margin and value ({"lang": {"en": 0.5, "de": 0.5}}); a margin that it lacks takes
-    the default power of the token shares. weight is the fitted share of the row's cell over its share as it is. A
+    the default power of the token shares. error, the same in all rows, is the most by which a fitted margin is off; it is
+    above TOLERANCE only where the cells there are can't meet the targets. weight is the fitted share of the row's cell over its share as it is. A
     null source, language or topic is a value like another (key None in wanted). A text without words has no weight to
     spend and stays if its cell is kept in full. Rows with the same id share one fate; an empty table gives no rows.
     """
@@ -104,7 +122,7 @@ def mixture(docs: DataFrame, wanted: dict[str, dict] | None = None, share: float
     cells = stored(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "cells")
     fitted = stored(calibrated(raked(cells, wanted), share), "fitted")
     total = float(fitted.agg(F.sum("tokens")).first()[0] or 0) or 1.0
-    fitted = fitted.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.when(F.col("tokens") > 0, F.col("w") * total / F.col("tokens")).otherwise(0.0).alias("weight"), "p")
+    fitted = fitted.select(*(F.col(m).alias(f"_{m}") for m in MARGINS), F.when(F.col("tokens") > 0, F.col("w") * total / F.col("tokens")).otherwise(0.0).alias("weight"), "p", "error")
     same = rows["source"].eqNullSafe(F.col("_source")) & rows["lang"].eqNullSafe(F.col("_lang")) & rows["topic"].eqNullSafe(F.col("_topic"))
     draw = (F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11)).cast("double") / F.lit(float(1 << 53))
-    return rows.join(fitted, same, "left").select("doc_id", *MARGINS, "n_tokens", "weight", "p", (draw < F.col("p")).alias("kept"))
+    return rows.join(fitted, same, "left").select("doc_id", *MARGINS, "n_tokens", "weight", "p", (draw < F.col("p")).alias("kept"), "error")

@@ -356,6 +356,58 @@ def test_quality_sites_shrink(spark):
     assert abs(got["big", "x"].path_p - 0.1) < 0.03 and got["tiny", "x"].path_p > 0.2 and got["tiny", "x"].path_p < m and (None, None) in got
 
 
+def brute_quality(rows, labels):
+    """{doc_id: (doc_p, host_p, path_p, p)} with loops for the sums and a gradient's zero for the fit."""
+    import numpy as np
+
+    x = {d: np.array(quality_eb.features(t)) for d, _, _, t in rows}
+    train = [d for d in x if d in labels]
+    mean, scale = np.mean([x[d] for d in train], 0), np.maximum(np.std([x[d] for d in train], 0), 1e-6)
+    z = np.array([[*(x[d] - mean) / scale, 1.0] for d in train])
+    y, w = np.array([labels[d] for d in train], float), np.zeros(len(mean) + 1)
+    ridge = np.array([1.0] * len(mean) + [1e-6])
+    for _ in range(200):  # Newton's steps, with the Hessian by outer products
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w + np.linalg.solve(sum(a * (1 - a) * np.outer(r, r) for a, r in zip(p, z, strict=True)) + np.diag(ridge), z.T @ (y - p) - ridge * w)
+    p = 1 / (1 + np.exp(-z @ w))
+    assert np.abs(z.T @ (y - p) - ridge * w).max() < 1e-6
+    doc = {d: float(1 / (1 + np.exp(-(np.array([*(x[d] - mean) / scale, 1.0]) @ w)))) for d in x}
+
+    hosts, paths = defaultdict(list), defaultdict(list)
+    for d, h, q, _ in rows:
+        hosts[h].append(doc[d]), paths[h, q].append(doc[d])
+    n, m = len(rows), sum(doc.values()) / len(rows)
+
+    def prior(groups, spread):
+        if groups < 2:
+            return 1e6
+        between = max(spread / n - m * (1 - m) * (groups - 1) / n, 1e-9)
+        return min(max(m * (1 - m) / between - 1, 1.0), 1e6)
+
+    a = prior(len(hosts), sum(len(v) * (np.mean(v) - m) ** 2 for v in hosts.values()))
+    host_p = {h: (a * m + sum(v)) / (a + len(v)) for h, v in hosts.items()}
+    b = prior(len(paths) - len(hosts) + 1, sum(len(v) * (np.mean(v) - host_p[h]) ** 2 for (h, _), v in paths.items()))
+    path_p = {k: (b * host_p[k[0]] + sum(v)) / (b + len(v)) for k, v in paths.items()}
+    odds = lambda q: math.log(min(max(q, 1e-6), 1 - 1e-6) / (1 - min(max(q, 1e-6), 1 - 1e-6)))
+    return {d: (doc[d], host_p[h], path_p[h, q], 1 / (1 + math.exp(-(odds(doc[d]) + odds(path_p[h, q]) - odds(m))))) for d, h, q, _ in rows}
+
+
+def test_quality_matches_brute_force(docs, labels):
+    """Whole results on a whole table."""
+    rows = [(r.doc_id, r.source, r.lang, r.text or "") for r in docs.collect()]
+    want = brute_quality(rows, {r.doc_id: r.quality for r in labels.collect()})
+    for r in quality_eb.quality(docs, labels).collect():
+        assert (r.doc_p, r.host_p, r.path_p, r.p) == pytest.approx(want[r.doc_id], abs=1e-6)
+        assert r.kept == (r.p >= quality_eb.KEEP)
+
+
+def test_quality_ties_and_repeats(spark):
+    """A probability of exactly one half stays; repeated rows count each time; a label given twice counts as the lower."""
+    df = spark.createDataFrame([(1, "a b", "en", "s"), (1, "a b", "en", "s"), (2, "c d", "en", "s")], "doc_id long, text string, lang string, source string")
+    rows = quality_eb.quality(df, spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int")).collect()
+    assert len(rows) == 3 and all(r.p == 0.5 and r.kept for r in rows)
+
+
 def test_quality_odd(odd, none, labels, no_labels):
     assert quality_eb.quality(odd, labels).count() == odd.count()
     rows = quality_eb.quality(odd, no_labels).collect()
@@ -376,6 +428,51 @@ def test_raking_meets_margins(spark):
             assert sum(r.w for r in got if r[m] == value) == pytest.approx(share, abs=1e-3)
 
 
+def brute_mixture(rows, share):
+    """{cell: (weight, p)} by loops: raking in the order of the margins, then one scale by bisection."""
+    cells = Counter()
+    for source, lang, topic, tokens in rows:
+        cells[source, lang, topic] += tokens
+    total, to = sum(cells.values()), []
+    for i, m in enumerate(raking.MARGINS):
+        sums = Counter()
+        for k, t in cells.items():
+            sums[k[i]] += t
+        raw = {v: t ** raking.POWER[m] if t else 0.0 for v, t in sums.items()}
+        to.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    w = {k: float(t) for k, t in cells.items()}
+    for _ in range(400):
+        for i in range(3):
+            own = Counter()
+            for k, x in w.items():
+                own[k[i]] += x
+            w = {k: x * to[i][k[i]] / own[k[i]] if own[k[i]] > 0 else 0.0 for k, x in w.items()}
+    w = {k: x / sum(w.values()) for k, x in w.items()}
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(t, mid * w[k]) for k, t in cells.items()) < share * total else (low, mid)
+    return {k: (w[k] * total / t if t else 0.0, (0.0 if w[k] <= 0 else 1.0) if not t else min(1.0, high * w[k] / t)) for k, t in cells.items()}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_raking_matches_brute_force(docs, monkeypatch, few):
+    """Weights and probabilities of a whole table, by windows and by joins."""
+    monkeypatch.setattr(raking, "WINDOW_CELLS", 10**6 if few else 0)
+    rows = raking.mixture(docs).collect()
+    want = brute_mixture([(r.source, r.lang, r.topic, r.n_tokens) for r in rows], raking.SHARE)
+    for r in rows:
+        weight, p = want[r.source, r.lang, r.topic]
+        assert r.error < raking.TOLERANCE and r.weight == pytest.approx(weight, rel=0.02, abs=1e-3) and r.p == pytest.approx(p, rel=0.02, abs=1e-3)
+
+
+def test_raking_says_how_far_impossible_targets_are(spark):
+    """Two cells can't meet these margins: the fit ends and says so; ties and repeated rows share one fate."""
+    docs = spark.createDataFrame([(i, "x y z " * 20, "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(40)] + [(1, "x y z " * 20, "en", "a")], "doc_id long, text string, lang string, source string")
+    rows = raking.mixture(docs, {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.2, "de": 0.8}}).collect()
+    assert len(rows) == 41 and all(r.error > 0.1 for r in rows) and len({r.kept for r in rows if r.doc_id == 1}) == 1
+
+
 def test_raking_sample(docs, odd, none):
     rows = raking.mixture(docs, share=0.4).collect()
     tokens = sum(r.n_tokens for r in rows)
@@ -568,6 +665,37 @@ def test_language_accuracy(spark, odd, none):
     assert zstd_lang.languages(none).count() == 0
 
 
+def test_language_matches_brute_force(spark, docs):
+    """Every prediction from plain compression of the whole text, piece by piece, with each dictionary."""
+    import zstandard
+
+    books = zstd_lang.learned(docs, "doc_id", "text", "lang", 3, 1)
+    assert list(books)[0] == "en" and all(len(b) <= zstd_lang.DICTIONARY for b in books.values())
+    how = zstandard.ZstdCompressionParameters.from_level(zstd_lang.LEVEL, source_size=zstd_lang.PIECE, dict_size=zstd_lang.DICTIONARY, write_content_size=False, write_checksum=False, write_dict_id=False)
+    for r in zstd_lang.languages(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        raw = zstd_lang.plain(r.text or "")
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert r.lang_pred == "und"
+            continue
+        size = {}
+        for lang, book in books.items():
+            d = zstandard.ZstdCompressionDict(book, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(compression_params=how)
+            size[lang] = sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(raw[i : i + zstd_lang.PIECE])) for i in range(0, len(raw), zstd_lang.PIECE))
+        best, second = sorted(size.values())[:2]
+        assert r.lang_pred == min(size, key=lambda x: (size[x], list(size).index(x))) and r.rejected == (second - best < zstd_lang.MARGIN * second)
+
+
+def test_languages_beyond_one_block_and_ties(spark, docs, monkeypatch):
+    """Dictionaries in blocks of two give the same as in one; equal languages tie, and the name decides."""
+    want = {(r.doc_id, r.lang_pred, r.score, r.rejected) for r in zstd_lang.languages(docs).collect()}
+    monkeypatch.setattr(zstd_lang, "BLOCK", 2)
+    assert {(r.doc_id, r.lang_pred, r.score, r.rejected) for r in zstd_lang.languages(docs).collect()} == want
+    same = spark.createDataFrame([(i, "the same text for both", lang) for i, lang in ((0, "zz"), (2, "aa"), (3, "zz"), (5, "aa"), (6, "zz"), (9, "aa")) for _ in range(2)], "doc_id long, text string, lang string")
+    got = zstd_lang.languages(same).collect()
+    assert len({r.lang_pred for r in got}) == 1 and all(r.rejected for r in got)
+
+
 # --- 9 ----------------------------------------------------------------------------------------------------------------
 
 
