@@ -397,7 +397,20 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = stored(links.unionByName(_verify(docs, fresh, n_words, percent)), "all_links")
     comps = components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    joined = members.join(comps.join(degree, "id", "left"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    least = joined.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    return joined.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # one row a class, with its copies; classes by component; and back, hot classes and components by broadcast
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").cast("long").alias("n_links"))
+    copies = stored(members.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")).where("rows > 1").unionByName(
+        members.join(comps.select("id"), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))).distinct(), "copies")
+    joined = copies.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = joined.groupBy("comp").agg(F.min("first").alias("least"), F.count("*").alias("size"))
+    label = stored(with_hot(joined, least, "comp", "size", copies.count()).join(degree, "id", "left").select("id", "least", "rows", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "labels")
+    return with_hot(members, label, "id", "rows", rows.count()).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def with_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int, share: int = 1000) -> DataFrame:
+    """A left join on key, which right has once, with the rows of left that it meets in size. Keys with more than one
+    in share of all total rows, fewer than share in number, are broadcast, so none of them lands in one task."""
+    hot = stored(right.where(F.col(size) * share > total), "hot")
+    found = left.join(F.broadcast(hot), key)
+    rest = left.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left_anti")
+    return found.unionByName(rest.join(right, key, "left").select(*found.columns))
