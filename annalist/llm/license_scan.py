@@ -127,6 +127,8 @@ OTHERS = [
 #: Bounds of the training data: paragraphs of the corpus drawn for the unknown class, of which half are held out for
 #: the calibration, and features.
 UNKNOWN_ROWS, FEATURES = 800, 5000
+#: How many times the draw the scan lets through, since copies count once.
+DRAW = 10
 #: A gram in more than this share of the drawn paragraphs is no feature.
 USUAL = 0.005
 #: The share of unknown paragraphs that may exceed the threshold, the least threshold, the cover that confirms a
@@ -229,13 +231,18 @@ class Model:
         return e.select("pid", F.transform("e", lambda x: x / total).alias("ps")).select("pid", (1 - F.element_at("ps", -1)).alias("known"), "ps")
 
 
-def drawn(corpus: DataFrame) -> DataFrame:
-    """(pid, low, g, train) of a bounded draw of distinct paragraphs that no notice resembles: the least hashes of all."""
-    spark = corpus.sparkSession
-    keyed = corpus.select(F.xxhash64("paragraph").alias("h"), "paragraph").where(F.length("paragraph") > 0)
-    # copies of one paragraph share a hash, so they are drawn once; a task keeps no more than the whole draw
-    draw = keyed.groupBy("h").agg(F.first("paragraph").alias("paragraph")).orderBy("h").limit(UNKNOWN_ROWS)
-    found = stored(draw.select(F.concat(F.lit("d"), F.col("h").cast("string")).alias("pid"), F.lower("paragraph").alias("low"), grams(F.col("paragraph")).alias("g"), (F.pmod("h", F.lit(2)) == 0).alias("train")), "draw")
+def drawn(rows: DataFrame) -> DataFrame:
+    """(pid, low, g, train) of a bounded draw of distinct paragraphs of rows(text) that no notice resembles.
+
+    The least hashes of all are drawn. Hashes above what DRAW times the draw should have are left out in the scan, so
+    few rows meet, and copies of one paragraph share a hash, so they count once.
+    """
+    spark = rows.sparkSession
+    lines = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
+    below = -(1 << 63) + int(2**64 * min(1.0, DRAW * UNKNOWN_ROWS / max(1, lines))) - 1
+    keyed = rows.select(F.explode(F.split(F.lower("text"), "\n")).alias("low")).where(F.length("low") > 0).withColumn("h", F.xxhash64("low")).where(F.col("h") <= below)
+    draw = keyed.groupBy("h").agg(F.first("low").alias("low")).orderBy("h").limit(UNKNOWN_ROWS)
+    found = stored(draw.select(F.concat(F.lit("d"), F.col("h").cast("string")).alias("pid"), "low", grams(F.col("low")).alias("g"), (F.pmod("h", F.lit(2)) == 0).alias("train")), "draw")
     close = covers(spark, found).where(F.col("cover") >= FOREIGN).select("pid").distinct()
     return found.join(F.broadcast(close), "pid", "left_anti")
 
@@ -279,17 +286,19 @@ def threshold(unknown: DataFrame) -> float:
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> dict:
-    """All that licenses() and its tests need: rows, own(uid, doc_id, lines), paragraphs, model, predictions, threshold."""
+    """All that licenses() and its tests need: own(uid, doc_id, lines), of all rows, keyed(uid, pid), paragraphs, model,
+    needed, predicted, calibration, least."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    unknown = stored(drawn(rows.select(F.explode(F.split("text", "\n")).alias("paragraph"))), "unknown")
+    unknown = stored(drawn(rows), "unknown")
     model = trained(spark, unknown.where("train"))
     every = sorted({w for g in model.leads() for w in g.split(" ")})
     shares = unknown.agg(*(F.avg(F.col("low").contains(w).cast("double")).alias(f"c{i}") for i, w in enumerate(every)), F.count("*")).first() if every else []
     found = model.needed({w: x or 0.0 for w, x in zip(every, shares, strict=False)})
-    has = lambda x: reduce(lambda a, b: a | b, (F.lower(x).contains(w) for w in found), F.lit(False))
-    may = has(F.col("text"))
-    own = stored(rows.where(may).select("doc_id", F.monotonically_increasing_id().alias("uid"), F.filter(F.split("text", "\n"), has).alias("lines")), "found")
+    has = lambda x: reduce(lambda a, b: a | b, (x.contains(w) for w in found), F.lit(False))
+    # lower case once for each text: the generated row keeps the optimizer from writing it out at each word
+    low = rows.select("doc_id", F.explode(F.array(F.lower("text"))).alias("low"))
+    own = stored(low.select("doc_id", F.monotonically_increasing_id().alias("uid"), F.when(has(F.col("low")), F.filter(F.split("low", "\n"), has)).alias("lines")), "found")
     keyed = own.select("uid", F.explode("lines").alias("paragraph")).withColumn("pid", F.sha2("paragraph", 256))
     paragraphs = stored(keyed.groupBy("pid").agg(F.first("paragraph").alias("paragraph")).select("pid", grams(F.col("paragraph")).alias("g"), versions(F.col("paragraph")).alias("vs")), "paragraphs")
     predicted = stored(model.predicted(paragraphs.select("pid", "g")), "predicted")
@@ -301,7 +310,7 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> dict:
     like = covers(spark, paragraphs.select("pid", "g")).groupBy("pid").agg(F.max("cover").alias("cover"))
     far = predicted.join(like.where(F.col("cover") >= FOREIGN), "pid", "left_anti").select("pid", "known")
     calibration = stored(held.unionByName(far), "calibration")
-    return {"rows": rows, "may": may, "own": own, "keyed": keyed, "paragraphs": paragraphs, "model": model, "needed": found, "predicted": predicted, "calibration": calibration, "least": threshold(calibration)}
+    return {"own": own, "keyed": keyed, "paragraphs": paragraphs, "model": model, "needed": found, "predicted": predicted, "calibration": calibration, "least": threshold(calibration)}
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -314,6 +323,6 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     guesses = s["predicted"].where(F.col("known") > s["least"])
     sure = stored(confirmed(docs.sparkSession, s["paragraphs"], guesses), "sure")
     per = s["keyed"].select("uid", "pid").join(sure, "pid").groupBy("uid").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("p").alias("p"))
-    with_any = s["own"].select("uid", "doc_id").join(per, "uid", "left").select("doc_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("families", F.lit("")).alias("families"), "p")
-    none = s["rows"].where(~s["may"]).select("doc_id", F.lit(0).cast("long").alias("n_notices"), F.lit("").alias("families"), F.lit(None).cast("double").alias("p"))
-    return none.unionByName(with_any)
+    some, none = s["own"].where("lines is not null"), s["own"].where("lines is null")
+    with_any = some.select("uid", "doc_id").join(per, "uid", "left").select("doc_id", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("families", F.lit("")).alias("families"), "p")
+    return none.select("doc_id", F.lit(0).cast("long").alias("n_notices"), F.lit("").alias("families"), F.lit(None).cast("double").alias("p")).unionByName(with_any)
