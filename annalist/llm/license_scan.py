@@ -293,8 +293,9 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> dict:
     unknown = stored(drawn(rows), "unknown")
     model = trained(spark, unknown.where("train"))
     every = sorted({w for g in model.leads() for w in g.split(" ")})
-    shares = unknown.agg(*(F.avg(F.col("low").contains(w).cast("double")).alias(f"c{i}") for i, w in enumerate(every)), F.count("*")).first() if every else []
-    found = model.needed({w: x or 0.0 for w, x in zip(every, shares, strict=False)})
+    pairs = unknown.select("low", F.explode(F.array(*map(F.lit, every)).cast("array<string>")).alias("w"))  # the draw's rows by the model's words
+    shares = pairs.groupBy("w").agg(F.avg(F.col("low").contains(F.col("w")).cast("double")).alias("share")).collect()
+    found = model.needed({r["w"]: r["share"] for r in shares})
     has = lambda x: reduce(lambda a, b: a | b, (x.contains(w) for w in found), F.lit(False))
     # lower case once for each text: the generated row keeps the optimizer from writing it out at each word
     low = rows.select("doc_id", F.explode(F.array(F.lower("text"))).alias("low"))
