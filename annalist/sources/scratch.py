@@ -8,5 +8,9 @@ from pyspark.sql import SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/annalist"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "/tmp/checkpoints/annalist"
     return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
