@@ -14,15 +14,20 @@ def merged(stored: DataFrame, pushed: DataFrame) -> DataFrame:
     return stored.unionByName(pushed, allowMissingColumns=True)
 
 
-def without_too_far_ahead(rows: DataFrame, window_s: float, order: str, by: str = "slice_range") -> DataFrame:
+def without_too_far_ahead(rows: DataFrame, window_s: float, order: str, by: str = "slice_range", span: int = 100_000) -> DataFrame:
     """Drops pushed rows before the first backtracking row, and those more than window_s ahead of the latest.
 
     Heartbeats move that latest time on and are dropped. rows has source and db_timestamp; each value of by is a
-    reader of its own.
+    reader of its own. order is a number; each span of it is sorted in a task of its own and takes over the latest time
+    of all spans before it, so one reader of all rows doesn't end up in one task.
     """
-    known = F.max(F.when(F.col("source").isin("BT", "HB"), F.col("db_timestamp"))).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    parted = rows.withColumns({"_k": F.when(F.col("source").isin("BT", "HB"), F.col("db_timestamp")), "_part": F.floor(F.col(order) / span)})
+    latest = parted.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_at")).agg(F.max("_k").alias("_m"))
+    before = latest.select("_by", "_at", F.max("_m").over(Window.partitionBy("_by").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    within = F.max("_k").over(Window.partitionBy(by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    known = parted.withColumn("_within", within).join(before, F.col(by).eqNullSafe(F.col("_by")) & F.col("_part").eqNullSafe(F.col("_at"))).withColumn("_known", F.greatest("_within", "_before"))
     ahead = (F.unix_micros("db_timestamp") - F.unix_micros("_known")) > F.lit(int(window_s * 1_000_000))
-    return rows.withColumn("_known", known).where((F.col("source") != "HB") & ((F.col("source") != "PS") | (F.col("_known").isNotNull() & ~ahead))).drop("_known")
+    return known.where((F.col("source") != "HB") & ((F.col("source") != "PS") | (F.col("_known").isNotNull() & ~ahead))).select(*rows.columns)
 
 
 def deduplicated(rows: DataFrame, order: str) -> DataFrame:

@@ -49,18 +49,22 @@ def without(snapshots: DataFrame, persistence_id: str, seq_nr: int | None = None
     return snapshots.where(~gone)
 
 
-def starting_from_snapshots(events: DataFrame, snapshots: DataFrame, transform: Callable[[Column], Column] = lambda s: s) -> DataFrame:
+def replaced_by_snapshots(events: DataFrame, snapshots: DataFrame, transform: Callable[[Column], Column] = lambda s: s) -> DataFrame:
     """Events with those up to an id's snapshot left out and the one it was taken at replaced by it.
 
-    Columns: persistence_id, seq_nr, db_timestamp, event, tags, source. Without the event of that number the snapshot
-    isn't given either; a repeated one is given once. The offset stays the event's; time and tags are the snapshot's.
+    Columns: persistence_id, seq_nr, offset_timestamp, db_timestamp, event, tags, source. Without the event of that
+    number the snapshot isn't given either. The offset stays the event's; time and tags are the snapshot's.
     """
     snap = snapshots.select("persistence_id", F.col("seq_nr").alias("_s"), transform(F.col("snapshot")).alias("_p"), F.col("db_timestamp").alias("_t"), F.col("tags").alias("_g"))
     hit = F.col("seq_nr").eqNullSafe(F.col("_s"))
     rows = events.join(snap, "persistence_id", "left").where(F.col("seq_nr") >= F.coalesce("_s", F.lit(0)))
     pick = lambda s, e: F.when(hit, F.col(s)).otherwise(F.col(e)).alias(e)
-    out = rows.select("persistence_id", "seq_nr", F.col("db_timestamp").alias("offset_timestamp"), F.when(hit, F.coalesce("_t", "db_timestamp")).otherwise(F.col("db_timestamp")).alias("db_timestamp"), F.when(hit, F.col("_p")).otherwise(F.col("event_payload")).alias("event"), pick("_g", "tags"), F.when(hit, "SN").otherwise("").alias("source"))
-    return out.dropDuplicates(["persistence_id", "seq_nr"])
+    return rows.select("persistence_id", "seq_nr", F.col("db_timestamp").alias("offset_timestamp"), F.when(hit, F.coalesce("_t", "db_timestamp")).otherwise(F.col("db_timestamp")).alias("db_timestamp"), F.when(hit, F.col("_p")).otherwise(F.col("event_payload")).alias("event"), pick("_g", "tags"), F.when(hit, "SN").otherwise("").alias("source"))
+
+
+def starting_from_snapshots(events: DataFrame, snapshots: DataFrame, transform: Callable[[Column], Column] = lambda s: s) -> DataFrame:
+    """The same of a table's events; a repeated one is given once."""
+    return replaced_by_snapshots(events, snapshots, transform).dropDuplicates(["persistence_id", "seq_nr"])
 
 
 def by_persistence_id(journal: DataFrame, snapshots: DataFrame, persistence_id: str, from_seq_nr: int, to_seq_nr: int, transform: Callable[[Column], Column] = lambda s: s) -> DataFrame:

@@ -525,6 +525,31 @@ def live_events_by_slices(spark, sf_dir):
     return _shown(live.drained(rows, scratch.folder(spark)), "persistence_id", "seq_nr", "db_timestamp")
 
 
+@query(f"WITH {_SNAP} SELECT j.persistence_id, j.seq_nr, CASE WHEN s.seq_nr = j.seq_nr THEN s.snapshot ELSE j.payload END AS event, CASE WHEN s.seq_nr = j.seq_nr THEN 'SN' ELSE '' END AS source, j.db_timestamp, j.tags FROM j LEFT JOIN s ON s.persistence_id = j.persistence_id WHERE j.seq_nr >= coalesce(s.seq_nr, 0) AND j.entity_type = '{TYPE}' AND j.slice BETWEEN {LOW} AND {HIGH}")
+def live_starting_from_snapshots(spark, sf_dir):
+    path = scratch.folder(spark)
+    fx.journal_events(spark, sf_dir).select(*JOURNAL.names).write.parquet(path)
+    rows = live.events_starting_from_snapshots(live.stream(spark, path, JOURNAL), fx.snapshots(spark, sf_dir), TYPE, LOW, HIGH)
+    return _shown(live.drained(rows, scratch.folder(spark)), "persistence_id", "seq_nr", "event", "source", "db_timestamp", "tags")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE NOT ({_IN} AND seq_nr <= 2)")
+def store_change_slices(spark, sf_dir):
+    """Events up to the second of a type and slice range deleted; only the folders they lie in are rewritten."""
+    store = _stored_journal(spark, sf_dir)
+    store.change_slices("journal", TYPE, LOW, HIGH, lambda rows: rows.where(~(F.col("slice").between(LOW, HIGH) & (F.col("seq_nr") <= 2))))
+    return store.read("journal").select("persistence_id", "seq_nr")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE entity_type = '{TYPE}'")
+def store_follow(spark, sf_dir):
+    """What a reader of the store's commits is given, handed on to a folder of its own."""
+    store, out = _stored_journal(spark, sf_dir), scratch.folder(spark)
+    give = lambda rows, n: rows.where(F.col("entity_type") == TYPE).select("persistence_id", "seq_nr").write.mode("overwrite").parquet(f"{out}/batch={n}")
+    store.follow("journal", give, scratch.folder(spark), availableNow=True).awaitTermination()
+    return spark.read.parquet(out).select("persistence_id", "seq_nr")
+
+
 @query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr, db_timestamp FROM j WHERE persistence_id = '{PID}' AND seq_nr >= 3")
 def live_events_by_persistence_id(spark, sf_dir):
     rows = live.events_by_persistence_id(_journal_stream(spark, sf_dir), PID, 3)

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import json
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from annalist.functions.slices import checked_range, in_slices
+from annalist.operators.snapshots import replaced_by_snapshots
 from annalist.sources.schema import JOURNAL, STATE
 
 #: How long a late event may be found again, and how far behind now backtracking stays.
 WINDOW, BEHIND = "2 minutes", "10 seconds"
-LATE = "130 seconds"
 
 
 def stream(spark: SparkSession, path: str, schema: T.StructType = JOURNAL, files_per_trigger: int | None = None) -> DataFrame:
@@ -26,11 +27,61 @@ def stream(spark: SparkSession, path: str, schema: T.StructType = JOURNAL, files
     return (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
 
 
-def events_by_slices(rows: DataFrame, entity_type: str, min_slice: int, max_slice: int, late: str = LATE) -> DataFrame:
-    """Live events of a type and slice range, each once within the watermark."""
+def _new_numbers(lows: list[int], highs: list[int], numbers) -> list[bool]:
+    """Which of the numbers lie in none of the ranges; adds them, so each is new once."""
+    new = []
+    for n in numbers:
+        i = bisect_right(lows, n) - 1
+        new.append(i < 0 or highs[i] < n)
+        if not new[-1]:
+            continue
+        if i >= 0 and highs[i] == n - 1:
+            highs[i] = n
+        else:
+            i += 1
+            lows.insert(i, n)
+            highs.insert(i, n)
+        if i + 1 < len(lows) and lows[i + 1] == n + 1:
+            highs[i] = highs.pop(i + 1)
+            lows.pop(i + 1)
+    return new
+
+
+def once(rows: DataFrame) -> DataFrame:
+    """Rows of a stream with each (persistence_id, seq_nr) given the first time it appears, however old it is by then.
+
+    The state of an id is the numbers given, as ranges: one range where there is no gap, so it grows with ids and gaps
+    and not with events, and no watermark drops what a long catch-up or a late file brings. Where rows have a source,
+    those of backtracking (BT) all pass and don't count.
+    """
+    exact = {f.name: f.dataType for f in rows.schema.fields if f.name != "seq_nr" and isinstance(f.dataType, (T.LongType, T.TimestampType))}
+    # pandas would round nulls' neighbours to doubles and local times at a change of the clock, so these go as text
+    sent = rows.withColumns({c: (F.unix_micros(c) if isinstance(t, T.TimestampType) else F.col(c)).cast("string") for c, t in exact.items()})
+
+    def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        lows, highs = map(list, state.get) if state.exists else ([], [])
+        for part in parts:
+            again = part["source"].eq("BT") if "source" in part else pd.Series(False, part.index)
+            new = pd.Series(_new_numbers(lows, highs, part.loc[~again, "seq_nr"].tolist()), part.index[~again], dtype=bool)
+            yield part[again | new.reindex(part.index, fill_value=False)]
+        state.update((lows, highs))
+
+    given = sent.groupBy("persistence_id").applyInPandasWithState(run, sent.schema, "lows array<bigint>, highs array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return given.withColumns({c: F.timestamp_micros(F.col(c).cast("long")) if isinstance(t, T.TimestampType) else F.col(c).cast("long") for c, t in exact.items()})
+
+
+def events_by_slices(rows: DataFrame, entity_type: str, min_slice: int, max_slice: int) -> DataFrame:
+    """Live events of a type and slice range, each once."""
     checked_range(min_slice, max_slice)
-    own = rows.where((F.col("entity_type") == entity_type) & in_slices(min_slice, max_slice) & ~F.col("deleted"))
-    return own.withWatermark("db_timestamp", late).dropDuplicatesWithinWatermark(["persistence_id", "seq_nr"])
+    return once(rows.where((F.col("entity_type") == entity_type) & in_slices(min_slice, max_slice) & ~F.col("deleted")))
+
+
+def events_starting_from_snapshots(rows: DataFrame, snapshots: DataFrame, entity_type: str, min_slice: int, max_slice: int, transform: Callable[[Column], Column] = lambda s: s) -> DataFrame:
+    """The same with events up to an id's snapshot left out and the one it was taken at replaced by it.
+
+    snapshots is a table; the files it has when the stream starts are joined to each batch.
+    """
+    return replaced_by_snapshots(events_by_slices(rows, entity_type, min_slice, max_slice), snapshots, transform)
 
 
 def events_by_persistence_id(rows: DataFrame, persistence_id: str, from_seq_nr: int = 0, to_seq_nr: int = 2**63 - 1) -> DataFrame:

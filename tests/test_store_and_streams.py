@@ -3,6 +3,8 @@
 import datetime as dt
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from test_vectors import events, states
 
@@ -75,6 +77,64 @@ def test_live_events_are_given_once(spark, tmp_path):
     assert [r.seq_nr for r in spark.table("one_id").collect()] == [3]
 
 
+def test_old_events_of_a_later_batch(spark, tmp_path):
+    path = f"{tmp_path}/old"
+    events(spark, [("t|A", 3, 90_000), ("t|B", 1, 90_001)]).coalesce(1).write.parquet(path)
+    rows = live.stream(spark, path, JOURNAL, 1).withColumns({"big": F.when(F.col("seq_nr") > 1, F.lit(2**60 + 1)), "source": F.when(F.col("seq_nr") == 7, "BT").otherwise("")})
+    q = run(spark, live.events_by_slices(rows, "t", 0, 1023), "old")
+    for part in ([("t|A", 1, 1), ("t|A", 2, 2), ("t|A", 3, 90_000)], [("t|A", 7, 1), ("t|A", 5, 1), ("t|A", 5, 1)], [("t|A", 7, 1), ("t|A", 4, 3), ("t|B", 1, 90_001)]):
+        events(spark, part).coalesce(1).write.mode("append").parquet(path)
+        q.processAllAvailable()
+    q.stop()
+    got = spark.table("old").collect()
+    assert sorted((r.persistence_id, r.seq_nr) for r in got) == [("t|A", 1), ("t|A", 2), ("t|A", 3), ("t|A", 4), ("t|A", 5), ("t|A", 7), ("t|A", 7), ("t|B", 1)]
+    assert {r.seq_nr: r.big for r in got if r.persistence_id == "t|A"} == {1: None, **{n: 2**60 + 1 for n in (2, 3, 4, 5, 7)}}
+    want = {(r.persistence_id, r.seq_nr): r.db_timestamp for r in spark.read.parquet(path).collect()}
+    assert all(want[r.persistence_id, r.seq_nr] == r.db_timestamp for r in got)
+
+
+@given(st.lists(st.integers(1, 30)))
+def test_ranges_of_numbers(numbers):
+    lows, highs, seen = [], [], set()
+    for n, new in zip(numbers, live._new_numbers(lows, highs, numbers), strict=True):
+        assert new == (n not in seen)
+        seen.add(n)
+    assert [n for a, b in zip(lows, highs, strict=True) for n in range(a, b + 1)] == sorted(seen)
+    assert all(b + 1 < a for b, a in zip(highs, lows[1:]))
+
+
+def test_follow_gives_what_commits_append(spark, tmp_path):
+    store, got = Store(spark, f"file://{tmp_path}/followed"), []
+    give = lambda rows, n: got.extend((r.persistence_id, r.seq_nr) for r in rows.collect())
+    store.commit(appends={"journal": events(spark, [("t|A", 1, 1)])})
+    base = store.version()
+    store.commit(appends={"journal": events(spark, [("t|A", 2, 2)])})
+    with pytest.raises(CommitLost):
+        store.commit(appends={"journal": events(spark, [("t|lost", 1, 1)])}, base=base)
+    store.follow("journal", give, f"{tmp_path}/fcp", availableNow=True).awaitTermination()
+    assert sorted(got) == [("t|A", 1), ("t|A", 2)]
+    store.commit(rewrites={"journal": store.read("journal").where("seq_nr = 2")}, appends={"state": states(spark, [("t|A", 1, "a")])})
+    store.commit(appends={"journal": events(spark, [("t|A", 3, 3)])})
+    store.follow("journal", give, f"{tmp_path}/fcp", availableNow=True).awaitTermination()
+    assert sorted(got) == [("t|A", 1), ("t|A", 2), ("t|A", 3)]
+
+
+def test_change_leaves_other_folders(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/changed")
+    store.commit(appends={"journal": events(spark, [(f"{t}|{i}", 1, i) for i in range(60) for t in ("t", "a b%", "7")])})
+    before = {(r.persistence_id, r.entity_type) for r in store.read("journal").collect()}
+    files = lambda: {f for f in store.read("journal").inputFiles()}
+    was, one = files(), store.read("journal").where("persistence_id = 't|5'").first()
+    store.change_slices("journal", "t", one.slice, one.slice, lambda rows: rows.where("persistence_id <> 't|5'"))
+    assert {(r.persistence_id, r.entity_type) for r in store.read("journal").collect()} == before - {("t|5", "t")}
+    where = f"/entity_type=t/data_partition={one.slice // 256}/"
+    assert {f for f in was if where not in f} <= files() and not {f for f in was if where in f} & files()
+    store.change_slices("journal", "a b%", 0, 1023, lambda rows: rows.limit(0))
+    assert {r.entity_type for r in store.read("journal").collect()} == {"t", "7"}
+    store.change_slices("journal", "nobody", 0, 1023, lambda rows: rows.limit(0))
+    assert store.version() == 4
+
+
 def test_sequence(spark, tmp_path):
     path = f"{tmp_path}/s"
     for part in ([("t|A", 1, 1), ("t|A", 3, 3)], [("t|B", 1, 1), ("t|A", 3, 3)], [("t|A", 2, 2), ("t|A", 5, 5)]):

@@ -125,7 +125,8 @@ def test_deduplication(spark):
 def test_too_far_ahead(spark):
     rows = [(1, "PS", 0), (2, "", 1), (3, "BT", 10), (4, "PS", 100), (5, "PS", 131), (6, "HB", 60), (7, "PS", 131), (8, "", 500)]
     df = spark.createDataFrame([(n, s, at(t), 0) for n, s, t in rows], "n long, source string, db_timestamp timestamp, slice_range int")
-    assert [r.n for r in merge.without_too_far_ahead(df, 120, "n").orderBy("n").collect()] == [2, 3, 4, 7, 8]
+    for span in (1, 2, 3, 100):
+        assert [r.n for r in merge.without_too_far_ahead(df, 120, "n", span=span).orderBy("n").collect()] == [2, 3, 4, 7, 8]
 
 
 def test_same_time_resume(spark):
