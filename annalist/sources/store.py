@@ -56,8 +56,9 @@ class Store:
     def _folders(self, table: str, folders: list[str]) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*(f"{self.root}/{f}" for f in folders)).drop("batch")
 
-    def journal(self, min_slice: int = 0, max_slice: int = SLICES - 1, table: str = "journal") -> DataFrame:
-        """The journal, with folders outside a slice range left out."""
+    def journal(self, min_slice: int = 0, max_slice: int = SLICES - 1, table: str = "journal", strict: bool = False) -> DataFrame:
+        """The journal, with folders outside a slice range left out; strict refuses a range over several partitions."""
+        checked_range(min_slice, max_slice, self.partitions, strict)
         folders = self._tables(self.version()).get(table, [])
         if not folders:
             return self.read(table)

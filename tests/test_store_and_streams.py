@@ -52,6 +52,9 @@ def test_ranges_prune_folders(spark, tmp_path):
     light = journal.events_by_slices_scan(store.journal(0, 255), "t", 0, 255, backtracking=True)
     assert "event_payload" not in light._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].split("\n")[0]
     assert rows.count() == events(spark, [(f"t|{i}", 1, i) for i in range(200)]).where("slice < 256").count()
+    assert store.journal(0, 255, strict=True).count() == rows.count()
+    with pytest.raises(ValueError):
+        store.journal(200, 300, strict=True)
 
 
 def run(spark, stream, name, mode="append"):
