@@ -8,7 +8,8 @@ import time
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annalist.functions.offsets import TimestampOffset, at, from_time, offset_column, unseen
+from annalist.functions.buckets import count_buckets, time_for_limit
+from annalist.functions.offsets import EPOCH, TimestampOffset, at, from_time, offset_column, unseen
 from annalist.functions.slices import SEPARATOR, checked_range, in_slices
 from annalist.sources.schema import FILTERED_SER_ID
 
@@ -42,6 +43,17 @@ def events_by_slices_scan(journal: DataFrame, entity_type: str, min_slice: int,
     return ordered if limit is None else ordered.limit(limit)
 
 
+def events_by_slices_estimated(journal: DataFrame, entity_type: str, min_slice: int, max_slice: int, from_ts: dt.datetime, now: dt.datetime, limit: int = BUFFER) -> DataFrame:
+    """The same page with an end that counts in buckets put there, so later rows are neither read nor sorted.
+
+    The range up to it holds limit rows at least; where no bucket reaches that many, now is the end.
+    """
+    counts = count_buckets(typed(journal, entity_type, min_slice, max_slice).where(live()), from_ts, now)
+    end = time_for_limit(counts, from_ts, limit).first()["end"]
+    to = now if end is None else min(now, EPOCH + dt.timedelta(seconds=end))
+    return events_by_slices_scan(journal, entity_type, min_slice, max_slice, from_ts, to_ts=to, limit=limit)
+
+
 def current_events_by_slices(journal: DataFrame, entity_type: str, min_slice: int, max_slice: int, offset: TimestampOffset | None = None, now=None) -> DataFrame:
     """All events up to now that the offset hasn't seen, in order, as envelopes."""
     rows = unseen(typed(journal, entity_type, min_slice, max_slice).where(live()), offset)

@@ -13,7 +13,7 @@ from annalist.operators import cleanup, journal, merge, migrate, snapshots, stat
 from annalist.sources import fixtures as fx
 from annalist.sources import scratch
 from annalist.sources.fixtures import zoneless
-from annalist.sources.schema import JOURNAL, STATE
+from annalist.sources.schema import FILTERED_SER_ID, JOURNAL, STATE
 from annalist.sources.store import Store
 from annalist.streaming import live
 
@@ -90,6 +90,18 @@ def events_by_slices_scan(spark, sf_dir):
     return _shown(journal.events_by_slices_scan(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH, FROM, to_ts=TO, now=NOW, behind_ms=100), *_ROW)
 
 
+@query(f"WITH {_DELETED} SELECT {_SQL_ROW} FROM d WHERE NOT deleted AND {_IN} AND db_timestamp BETWEEN {_ts(FROM)} AND {_ts(NOW)} ORDER BY db_timestamp, seq_nr, persistence_id LIMIT 20")
+def events_by_slices_estimated(spark, sf_dir):
+    return _shown(journal.events_by_slices_estimated(fx.journal_deleted(spark, sf_dir), TYPE, LOW, HIGH, FROM, NOW, 20), *_ROW)
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr, CASE WHEN seq_nr % 4 <> 0 THEN payload END AS event, seq_nr % 4 = 0 AS filtered FROM j WHERE {_IN}")
+def filtered_payload(spark, sf_dir):
+    """Every fourth event has the marker of a payload that its producer filtered out."""
+    marker = F.when(F.col("seq_nr") % 4 == 0, FILTERED_SER_ID).otherwise(F.col("event_ser_id"))
+    return _shown(journal.current_events_by_slices(fx.journal_events(spark, sf_dir).withColumn("event_ser_id", marker), TYPE, LOW, HIGH), "persistence_id", "seq_nr", "event", "filtered")
+
+
 @query(f"WITH {_ORDERS} SELECT slice, persistence_id, seq_nr, db_timestamp FROM c WHERE slice BETWEEN 0 AND 1023 AND db_timestamp >= {_ts(DAY)} AND (db_timestamp <> {_ts(DAY)} OR seq_nr >= 4) ORDER BY db_timestamp, seq_nr, persistence_id LIMIT 1000")
 def events_by_slices_from_offset(spark, sf_dir):
     return _shown(journal.events_by_slices_scan(fx.journal_orders(spark, sf_dir), "Customer", 0, 1023, DAY, 4), "slice", "persistence_id", "seq_nr", "db_timestamp")
@@ -374,6 +386,16 @@ def snapshot_upsert(spark, sf_dir):
     return snapshots.upserted(old, old.where(F.col("entity_type") == TYPE).withColumn("seq_nr", F.lit(1).cast("long"))).select("persistence_id", "seq_nr")
 
 
+@query(f"""WITH {_SNAP} SELECT persistence_id, seq_nr, db_timestamp, tags FROM s WHERE entity_type NOT IN ('{TYPE}', 'view')
+UNION ALL SELECT s.persistence_id, 1, j.db_timestamp, j.tags FROM s JOIN j ON j.persistence_id = s.persistence_id AND j.seq_nr = 1 WHERE s.entity_type = '{TYPE}'
+UNION ALL SELECT persistence_id, 1000000000, date_trunc('milliseconds', db_timestamp), '' FROM s WHERE entity_type = 'view'""")
+def snapshot_save(spark, sf_dir):
+    """Times and tags come from the event of the number; the views' number has none, so there the write time counts."""
+    old = fx.snapshots(spark, sf_dir)
+    new = old.where(F.col("entity_type").isin(TYPE, "view")).withColumn("seq_nr", F.when(F.col("entity_type") == TYPE, 1).otherwise(1_000_000_000).cast("long"))
+    return _shown(snapshots.saved(old, fx.journal_events(spark, sf_dir), new), "persistence_id", "seq_nr", "db_timestamp", "tags")
+
+
 @query(f"WITH {_SNAP} SELECT persistence_id, seq_nr FROM s WHERE NOT (persistence_id = '{PID}')")
 def snapshot_delete(spark, sf_dir):
     return snapshots.without(fx.snapshots(spark, sf_dir), PID).select("persistence_id", "seq_nr")
@@ -407,6 +429,14 @@ def state_delete(spark, sf_dir):
     return writes.deleted_states(old, gone, NOW).select("persistence_id", "revision", (F.col("state_ser_id") == 0).alias("gone"))
 
 
+@query(f"WITH {_STATE} SELECT persistence_id, revision + CASE WHEN entity_type = '{TYPE}' THEN 1 ELSE 0 END AS revision, CASE WHEN revision % 2 = 0 THEN 'old' WHEN entity_type = '{TYPE}' THEN 'first' END AS note FROM st")
+def state_additional_columns(spark, sf_dir):
+    """A column of the user's whose rule keeps what is there."""
+    old = fx.states(spark, sf_dir).withColumn("note", F.when(F.col("revision") % 2 == 0, "old"))
+    new = old.where(F.col("entity_type") == TYPE).select("persistence_id", (F.col("revision") + 1).alias("revision"), F.lit(b"new").alias("state_payload"))
+    return writes.next_states(old, new, NOW, additional={"note": lambda kept: F.coalesce(kept, F.lit("first"))}).select("persistence_id", "revision", "note")
+
+
 # --- merging and joins ------------------------------------------------------------------------------------------------
 
 
@@ -416,6 +446,12 @@ def skip_pubsub_too_far_ahead(spark, sf_dir):
     return merge.without_too_far_ahead(fx.envelopes_mixed(spark, sf_dir), 7200, "n", "entity_type").select("persistence_id", "seq_nr", "source", "n")
 
 
+@query(f"""WITH {_MIXED}, k AS (SELECT *, max(db_timestamp) OVER (PARTITION BY entity_type, source = 'BT' ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM m WHERE source <> 'HB')
+SELECT persistence_id, seq_nr, source, n, latest FROM k WHERE db_timestamp < latest""")
+def out_of_order(spark, sf_dir):
+    return _shown(merge.out_of_order(fx.envelopes_mixed(spark, sf_dir), "n", "entity_type"), "persistence_id", "seq_nr", "source", "n", "latest")
+
+
 @query(f"WITH {_MIXED}, f AS (SELECT *, min(CASE WHEN source <> 'BT' THEN n END) OVER (PARTITION BY persistence_id, seq_nr) AS first FROM m) SELECT persistence_id, seq_nr, source, n FROM f WHERE source = 'BT' OR n = first")
 def deduplicate(spark, sf_dir):
     return merge.deduplicated(fx.envelopes_mixed(spark, sf_dir), "n").select("persistence_id", "seq_nr", "source", "n")
@@ -445,6 +481,13 @@ def write_events(spark, sf_dir):
     return _shown(writes.new_events(new, old, dt.datetime(2024, 1, 15)).withColumn("writes", F.lit(1)), "persistence_id", "seq_nr", "writes", "db_timestamp")
 
 
+@query(f"WITH {_EVENTS} SELECT persistence_id, max(seq_nr) + 1 AS seq_nr, split_part(persistence_id, '|', 2) AS owner FROM j GROUP BY persistence_id")
+def write_events_additional_columns(spark, sf_dir):
+    old = fx.journal_events(spark, sf_dir)
+    new = old.groupBy("persistence_id").agg((F.max("seq_nr") + 1).alias("seq_nr")).withColumn("event_payload", F.lit(b"new"))
+    return writes.new_events(new, old, NOW, additional={"owner": F.substring_index("persistence_id", "|", -1)}).select("persistence_id", "seq_nr", "owner")
+
+
 @query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr, false AS deleted FROM j WHERE entity_type <> '{TYPE}' OR seq_nr > 5 UNION ALL SELECT DISTINCT persistence_id, 5, true FROM j WHERE entity_type = '{TYPE}'")
 def delete_events_to(spark, sf_dir):
     old = fx.journal_events(spark, sf_dir).drop("event_id", "user_id", "value")
@@ -457,6 +500,32 @@ def delete_events_before(spark, sf_dir):
     return cleanup.without_events_before(fx.journal_events(spark, sf_dir), FROM, persistence_id=PID).select("persistence_id", "seq_nr")
 
 
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE NOT (entity_type = '{TYPE}' AND db_timestamp < {_ts(TO)} AND slice = (SELECT any_value(slice) FROM j WHERE persistence_id = '{PID}'))")
+def delete_events_before_in_slice(spark, sf_dir):
+    """Of the type and slice that an id lies in."""
+    slice_nr = spark.range(1).select(slices.slice_for(F.lit(PID))).first()[0]
+    return cleanup.without_events_before(fx.journal_events(spark, sf_dir), TO, entity_type=TYPE, slice_nr=slice_nr).select("persistence_id", "seq_nr")
+
+
+@query(f"WITH {_EVENTS} SELECT persistence_id, seq_nr FROM j WHERE entity_type <> '{TYPE}' OR seq_nr > 5")
+def delete_events_reset(spark, sf_dir):
+    """Without a tombstone, so numbers begin anew."""
+    old = fx.journal_events(spark, sf_dir)
+    targets = old.where(F.col("entity_type") == TYPE).select("persistence_id").distinct().withColumn("to_seq_nr", F.lit(5).cast("long"))
+    return cleanup.without_events_to(old, targets, reset=True).select("persistence_id", "seq_nr")
+
+
+@query(f"""WITH {_SNAP} SELECT 'event' AS kind, persistence_id, seq_nr, false AS deleted FROM j WHERE entity_type <> '{TYPE}'
+UNION ALL SELECT 'event', persistence_id, max(seq_nr), true FROM j WHERE entity_type = '{TYPE}' GROUP BY persistence_id
+UNION ALL SELECT 'snapshot', persistence_id, seq_nr, false FROM s WHERE entity_type <> '{TYPE}'""")
+def delete_all(spark, sf_dir):
+    """All events and snapshots of the ids of a type go; the highest numbers stay known."""
+    old = fx.journal_events(spark, sf_dir).drop("event_id", "user_id", "value")
+    ids = old.where(F.col("entity_type") == TYPE).select("persistence_id").distinct()
+    events, snaps = cleanup.without_everything(old, fx.snapshots(spark, sf_dir), ids, now=NOW)
+    return events.select(F.lit("event").alias("kind"), "persistence_id", "seq_nr", "deleted").unionByName(snaps.select(F.lit("snapshot").alias("kind"), "persistence_id", "seq_nr", F.lit(False).alias("deleted")))
+
+
 @query(f"WITH {_SNAP} SELECT j.persistence_id, j.seq_nr, false AS deleted FROM j LEFT JOIN s ON s.persistence_id = j.persistence_id WHERE j.seq_nr > coalesce(s.seq_nr, 0) UNION ALL SELECT persistence_id, seq_nr, true FROM s")
 def cleanup_before_snapshot(spark, sf_dir):
     old = fx.journal_events(spark, sf_dir).drop("event_id", "user_id", "value")
@@ -472,6 +541,28 @@ def migrate_events(spark, sf_dir):
     return migrate.events_to_migrate(source, target, progress).select("persistence_id", "seq_nr")
 
 
+@query(f"WITH {_SNAP} SELECT persistence_id, seq_nr, snapshot FROM s WHERE entity_type <> '{TYPE}' OR seq_nr > 5")
+def migrate_snapshots(spark, sf_dir):
+    """The fifth event's snapshots of a type were migrated before."""
+    source = fx.snapshots(spark, sf_dir)
+    progress = source.where(F.col("entity_type") == TYPE).select("persistence_id", F.lit(5).cast("long").alias("snapshot_seq_nr"))
+    return _shown(migrate.snapshots_to_migrate(source, progress), "persistence_id", "seq_nr", "snapshot")
+
+
+@query(f"WITH {_STATE} SELECT persistence_id, revision, value FROM st WHERE entity_type <> '{TYPE}' OR revision > 4")
+def migrate_states(spark, sf_dir):
+    source = fx.states(spark, sf_dir)
+    progress = source.where(F.col("entity_type") == TYPE).select("persistence_id", F.lit(4).cast("long").alias("state_revision"))
+    return _shown(migrate.states_to_migrate(source, progress).withColumn("value", state.value()), "persistence_id", "revision", "value")
+
+
+@query(f"WITH {_SNAP} SELECT j.persistence_id, greatest(3, max(j.seq_nr)) AS event_seq_nr, max(s.seq_nr) AS snapshot_seq_nr, max(j.seq_nr) AS state_revision FROM j LEFT JOIN s USING (persistence_id) GROUP BY j.persistence_id")
+def migration_progress(spark, sf_dir):
+    events = fx.journal_events(spark, sf_dir)
+    before = events.groupBy("persistence_id").agg(F.lit(3).cast("long").alias("event_seq_nr"))
+    return migrate.progressed(before, events, fx.snapshots(spark, sf_dir), fx.states(spark, sf_dir)).select("persistence_id", "event_seq_nr", "snapshot_seq_nr", "state_revision")
+
+
 @query(f"WITH {_SNAP} SELECT (SELECT count(DISTINCT persistence_id) FROM j) AS persistence_ids, (SELECT count(*) FROM j) AS events, (SELECT count(*) FROM s) AS snapshots")
 def migration_result(spark, sf_dir):
     return migrate.result(fx.journal_events(spark, sf_dir), fx.snapshots(spark, sf_dir))
@@ -501,6 +592,19 @@ def store_slice_scan(spark, sf_dir):
     return _shown(journal.events_by_slices_scan(_stored_journal(spark, sf_dir, True).journal(LOW, HIGH), TYPE, LOW, HIGH, FROM), *_ROW)
 
 
+@query(f"WITH {_DELETED} SELECT persistence_id, seq_nr, deleted FROM d WHERE slice BETWEEN {LOW} AND {HIGH}")
+def store_strict_range(spark, sf_dir):
+    """A range that must lie within one data partition, as this one does."""
+    return _stored_journal(spark, sf_dir, True).journal(LOW, HIGH, strict=True).select("persistence_id", "seq_nr", "deleted")
+
+
+@query(f"WITH {_DELETED} SELECT entity_type, count(*) AS events, max(seq_nr) AS highest FROM d WHERE NOT deleted GROUP BY entity_type")
+def store_sql_session(spark, sf_dir):
+    """The store's tables in a user's own SQL."""
+    _stored_journal(spark, sf_dir, True).register()
+    return spark.sql("SELECT entity_type, count(*) AS events, max(seq_nr) AS highest FROM journal WHERE NOT deleted GROUP BY entity_type")
+
+
 @query(f"WITH {_STATE} SELECT s.persistence_id, s.revision + 1 AS revision, j.top + 1 AS seq_nr FROM st s JOIN (SELECT persistence_id, max(seq_nr) AS top FROM j GROUP BY 1) j USING (persistence_id) WHERE s.entity_type = '{TYPE}'")
 def store_state_with_events(spark, sf_dir):
     """States and the events that tell of them, published by one commit and read back."""
